@@ -9,6 +9,7 @@ not the batch.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -75,6 +76,11 @@ class Scratch:
         (writer.partitionBy(*partition) if partition else writer).parquet(self.path(table))
         return self.spark.read.schema(df.schema).parquet(self.path(table))
 
+    def settle(self) -> None:
+        """Let Spark remove shuffle files that no plan refers to any more; they count as disk."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, table: str | None = None) -> None:
         try:
             jvm = self.spark.sparkContext._jvm
