@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ngram_join, packing, quality, sharding, syncmers, token_store
+from . import html_main, mixing, ngram_join, packing, quality, sharding, syncmers, token_store
 from .common import shared_dir
 from .tokens import vocabulary
 
@@ -35,6 +35,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op6_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_main(_table(spark, sf_dir, "pages"))
+
+
 def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_plan(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -48,5 +52,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 0, 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_risk_controlled_quality, op4_closed_syncmers, op5_ngram_jaccard, op7_pivotal_mix, op9_hash_tree_shards, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_risk_controlled_quality, op4_closed_syncmers, op5_ngram_jaccard, op6_page_differencing, op7_pivotal_mix, op9_hash_tree_shards, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {}
