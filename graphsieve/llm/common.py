@@ -112,6 +112,10 @@ def fresh(df: DataFrame, name: str) -> str:
 # ------------------------------------------------------------------ byte scanning
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?%&$*#|()")] = True
 _rng = np.random.Generator(np.random.PCG64(20240521))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15
@@ -160,8 +164,11 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """The words of consecutive texts: byte bounds, hash and text number of each."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lead: bool = False, lower: bool = False):
-        """lead: a word also takes the white space before it, and trailing white space is a word."""
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lead: bool = False, lower: bool = False, marks: bool = False):
+        """lead: a word also takes the white space before it, and trailing white space is a word.
+
+        lower: A-Z count as a-z in hashes. marks: a mark of ``_MARK`` right after A-Z or a-z begins a word.
+        """
         base, end = int(offsets[0]), int(offsets[-1])
         self.data = data = data[base:end]
         self.offsets = offsets = offsets - base
@@ -176,14 +183,20 @@ class Words:
         if lead:
             begins = first.copy()
             begins[1:] |= space[1:] & ~space[:-1]
+            if marks:
+                begins[1:] |= _MARK[data[1:]] & _LETTER[data[:-1]]
             self.starts = np.flatnonzero(begins)
             self.ends = np.append(self.starts[1:], n)
         else:
             begins = ~space
             begins[1:] &= space[:-1] | first[1:]
-            self.starts = np.flatnonzero(begins)
             stops = ~space
             stops[:-1] &= space[1:] | first[1:]
+            if marks:
+                inner = _MARK[data[1:]] & _LETTER[data[:-1]]
+                begins[1:] |= inner
+                stops[:-1] |= inner
+            self.starts = np.flatnonzero(begins)
             self.ends = np.flatnonzero(stops) + 1
         self.doc = np.searchsorted(offsets, self.starts, "right") - 1
         if not len(self.starts):

@@ -162,7 +162,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
     """Encode whole texts and cut those longer than ``capacity``; sums of the ids, not the ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary, lead)
+        encoder = Encoder.load(vocabulary, lead)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for i, j, ids, bounds in encoder.batches(batch.column(1), end_id):

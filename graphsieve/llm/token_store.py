@@ -127,7 +127,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     kind = "<u4" if wide else "<u2"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(vocabulary, lead), set()
+        encoder, seen = Encoder.load(vocabulary, lead), set()
         schema = pa.schema([("recipe", pa.bool_()), ("digest", pa.binary()), ("id", pa.int64()), ("n", pa.int64()), ("payload", pa.binary()), ("root", pa.binary())])
         for batch in batches:
             ids_col = batch.column(0).to_pylist()
