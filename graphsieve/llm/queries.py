@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, mixing, ngram_join, packing, quality, sharding, syncmers, token_store
+from . import html_main, mixing, ngram_join, packing, pii, quality, sharding, syncmers, token_store
 from .common import shared_dir
 from .tokens import vocabulary
 
@@ -27,6 +27,11 @@ def op2_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_keyed_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.replace_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op4_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.edited_fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -52,5 +57,5 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 0, 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_risk_controlled_quality, op4_closed_syncmers, op5_ngram_jaccard, op6_page_differencing, op7_pivotal_mix, op9_hash_tree_shards, op10_pattern_packing)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_risk_controlled_quality, op3_keyed_surrogates, op4_closed_syncmers, op5_ngram_jaccard, op6_page_differencing, op7_pivotal_mix, op9_hash_tree_shards, op10_pattern_packing)}
 ORACLE_SQL: dict[str, str] = {}
