@@ -1,13 +1,51 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again.
+
+Every stage takes all rows that its predecessor kept; all but the last return the
+columns of ``documents``, with ``n_chars`` of the text as it then is.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from graphsieve.llm import mixing
+from graphsieve.llm import mixing, ngram_join, packing, pii, quality
 from graphsieve.llm.common import Scratch
+from graphsieve.llm.tokens import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go; cutoffs come from the labels of documents that are still there."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays, that of the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    out = pii.replace_pii(docs, counts=False)
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document that the mix takes twice is there twice; one that it does not take goes."""
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 0, 2048)
+
 
-STAGES = [("mixing sources to target weights", lambda spark, docs, sf_dir: mixing.mix_documents(docs))]
+STAGES = [
+    ("quality rules", quality_rules),
+    ("n-gram Jaccard join", near_duplicates),
+    ("PII", personal_data),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
+#: The thresholds, the hashes and the tokenizer cannot be said in SQL; tests/llm has the brute force.
 ORACLE_SQL = None
 
 
@@ -16,4 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
         docs = scratch.save(stage(spark, docs, sf_dir), f"stage{i}")
+        if i:
+            scratch.drop(f"stage{i - 1}")
     return docs

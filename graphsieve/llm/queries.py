@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_main, mixing, ngram_join, packing, pii, quality, sharding, syncmers, token_store
+from . import html_main, licenses, mixing, ngram_join, packing, pii, quality, sharding, syncmers, token_store
 from .common import shared_dir
 from .tokens import vocabulary
 
@@ -49,6 +49,10 @@ def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"), 16)
 
@@ -57,5 +61,17 @@ def op10_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 0, 2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_risk_controlled_quality, op3_keyed_surrogates, op4_closed_syncmers, op5_ngram_jaccard, op6_page_differencing, op7_pivotal_mix, op9_hash_tree_shards, op10_pattern_packing)}
+_ALL = (
+    op1_token_store,
+    op2_risk_controlled_quality,
+    op3_keyed_surrogates,
+    op4_closed_syncmers,
+    op5_ngram_jaccard,
+    op6_page_differencing,
+    op7_pivotal_mix,
+    op8_license_windows,
+    op9_hash_tree_shards,
+    op10_pattern_packing,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 ORACLE_SQL: dict[str, str] = {}
