@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .storage import Scratch
+
 _TEXT = ("name", "code", "full_name", "method_full_name", "type_full_name", "signature", "filename")
 NODES = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("label", T.StringType())]
@@ -75,6 +77,12 @@ class Graph:
     def load(cls, spark: SparkSession, path: str) -> Graph:
         return cls(spark.read.schema(NODES).parquet(f"{path}/nodes"), spark.read.schema(EDGES).parquet(f"{path}/edges"))
 
+    def materialize(self) -> Graph:
+        """The graph as written tables by label, so that no query computes it again."""
+        scratch = Scratch(self.spark, "graph")
+        chain = None if self.chain is None else scratch.save(self.chain, "chain")
+        return Graph(scratch.save(self.nodes, "nodes", "label"), scratch.save(self.edges, "edges", "label"), chain)
+
     def views(self, prefix: str = "") -> None:
         self.nodes.createOrReplaceTempView(f"{prefix}nodes")
         self.edges.createOrReplaceTempView(f"{prefix}edges")

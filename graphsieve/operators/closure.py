@@ -19,14 +19,20 @@ FLOW = ("DDG", "REACHING_DEF")
 def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, blocked: DataFrame | None = None, trace: bool = False) -> DataFrame:
     """root, node, depth (and path) of all pairs, the root itself at depth 0.
 
-    edges: src, dst. starts: root, node. blocked: id of nodes that no path may touch.
-    A null depth runs to the fixpoint.
+    edges: src, dst. starts: root, node, and optionally grp, which then is a column of the
+    result: groups share the rounds and differ in what is blocked. blocked: id (and grp)
+    of nodes that no path may touch. A null depth runs to the fixpoint.
     """
     scratch = Scratch(starts.sparkSession, "reach")
-    starts = starts.select("root", "node").distinct()
+    key = [c for c in ("grp", "root") if c in starts.columns]
+    grouped = blocked is not None and "grp" in blocked.columns
+    starts = starts.select(*key, "node").distinct()
     if blocked is not None:
-        edges = edges.join(blocked.select(F.col("id").alias("src")), "src", "left_anti").join(blocked.select(F.col("id").alias("dst")), "dst", "left_anti")
-        starts = starts.join(blocked.select(F.col("id").alias("node")), "node", "left_anti")
+        blocked = scratch.save(blocked.withColumnRenamed("id", "node").distinct(), "blocked")
+        on = ["grp", "node"] if grouped else ["node"]
+        starts = starts.join(blocked, on, "left_anti")
+        if not grouped:
+            edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
     hops = scratch.save(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "edges")
     frontier = starts.withColumn("depth", F.lit(0))
     if trace:
@@ -38,10 +44,12 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, blocked
         step = frontier.join(hops, "node")
         if trace:
             # of equally short paths the smallest counts
-            new = step.select("root", F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")).groupBy("root", "node").agg(F.min("path").alias("path"))
+            new = step.select(*key, F.col("next").alias("node"), F.concat("path", F.array("next")).alias("path")).groupBy(*key, "node").agg(F.min("path").alias("path"))
         else:
-            new = step.select("root", F.col("next").alias("node")).distinct()
-        new = new.join(known.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(k))
+            new = step.select(*key, F.col("next").alias("node")).distinct()
+        if grouped:
+            new = new.join(blocked, ["grp", "node"], "left_anti")
+        new = new.join(known.select(*key, "node"), [*key, "node"], "left_anti").withColumn("depth", F.lit(k))
         frontier = scratch.save(new.select(known.columns), f"round{k}")
         if frontier.isEmpty():
             break
@@ -59,6 +67,7 @@ def flows(g: Graph, sources: DataFrame, sinks: DataFrame, blocked: DataFrame | N
     """source, sink, depth (and path): a clean path leads from one to the other.
 
     sources, sinks: id.  strict leaves out a node that is both ends of an empty path.
+    An empty side costs no rounds.
     """
     if g.chain is not None:
         return _chain_flows(g, sources, sinks, blocked, strict)

@@ -99,7 +99,7 @@ def dominated(g: Graph, targets: DataFrame, barriers: DataFrame) -> DataFrame:
     flow = g.links("CFG").select(F.col("src").alias("id"), "dst").join(at, "id").join(both, "method_id", "left_semi")
     rows = flow.select("method_id", F.lit(0).alias("kind"), F.col("id").alias("a"), F.col("dst").alias("b"))
     for kind, df in ((1, targets), (2, inner)):
-        rows = rows.unionByName(df.join(both, "method_id", "left_semi").select("method_id", F.lit(kind).alias("kind"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b")))
+        rows = rows.unionByName(df.join(both, "method_id", "left_semi").select("method_id", F.lit(kind).alias("kind"), F.col("id").alias("a"), F.lit(0).cast("long").alias("b")))  # no null: ids stay whole numbers
     found = rows.groupBy("method_id").applyInPandas(_method, "id long")
     return found.unionByName(whole).distinct()
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .dominance import latest
 
 
-def deduplicate(matches: DataFrame) -> DataFrame:
+def deduplicate(matches: DataFrame, *by: str) -> DataFrame:
     """One match for each place, source method and bindings.
 
     Sources that are not the receiver come first, then longer code, then the smaller id.
@@ -16,7 +16,7 @@ def deduplicate(matches: DataFrame) -> DataFrame:
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries("bindings")), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))), "\x01")
     keyed = matches.withColumn("_line", F.coalesce("line", F.lit(0))).withColumn("_method", F.coalesce("source_method", F.lit("unknown"))).withColumn("_pairs", pairs)
     this = F.coalesce(F.col("source_code").contains("this"), F.lit(False)).cast("int")
-    return latest(keyed, ["file", "_line", "_method", "_pairs"], this, F.length("code").desc_nulls_last(), "node_id", "source_id").drop("_line", "_method", "_pairs")
+    return latest(keyed, [*by, "file", "_line", "_method", "_pairs"], this, F.length("code").desc_nulls_last(), "node_id", "source_id").drop("_line", "_method", "_pairs")
 
 
 def deduplicate_report(matches: DataFrame) -> DataFrame:

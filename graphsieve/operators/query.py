@@ -138,7 +138,7 @@ def execute(g: Graph, q: Query) -> DataFrame:
         current = current.select("source_id", F.col("sink").alias("at"), (F.col("depth") + F.col("leg")).alias("depth"), path.alias("path"), F.col("owner").alias("sink_owner"), *[F.col(f"`{n}{s}`") for n in names for s in sides])
     for n in names:
         current = current.withColumn(n, F.coalesce(*[F.col(f"`{n}{s}`") for s in sides]))
-        current = current.where(F.coalesce(F.col(f"`{n}`"), F.lit("")) != "")
+        current = current.where(F.col(f"`{n}`").isNull() | (F.col(f"`{n}`") != ""))  # null: this branch does not bind it
     rows = current.groupBy("source_id", "sink_owner", *[F.col(f"`{n}`") for n in names]).agg(F.min(F.struct("depth", "path")).alias("best"))
     rows = rows.select("source_id", "sink_owner", F.col("best.depth").alias("depth"), (F.col("best.path") if q.trace else F.lit(None).cast("array<bigint>")).alias("path"), *[F.col(f"`{n}`") for n in names])
     return describe(g, rows, names)
@@ -147,7 +147,7 @@ def execute(g: Graph, q: Query) -> DataFrame:
 _WHAT = ("id", "label", "name", "code", "line", "col", "line_end", "col_end", "filename", "method_id")
 
 
-def describe(g: Graph, rows: DataFrame, names: Sequence[str]) -> DataFrame:
+def describe(g: Graph, rows: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Everything a report says of a match.
 
     A match that is neither a call nor inside one is described by itself; operators and
@@ -165,6 +165,7 @@ def describe(g: Graph, rows: DataFrame, names: Sequence[str]) -> DataFrame:
     pairs = [x for n in names for x in (F.lit(n), F.col(f"`{n}`"))]
     bindings = F.create_map(*pairs) if pairs else F.expr("cast(map() as map<string,string>)")
     return out.select(
+        *keep,
         F.col("sink_owner").alias("node_id"),
         "label",
         "name",
