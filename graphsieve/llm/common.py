@@ -8,20 +8,52 @@ not the batch.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Scratch, partitions, shared_dir, ship
+from .. import storage
+from ..storage import Scratch, partitions, shared_dir
 
-__all__ = ["Scratch", "Words", "buffers", "fresh", "mix", "partitions", "running", "shared_dir", "ship", "slices", "windows", "word_count"]
+__all__ = ["Scratch", "Words", "buffers", "fresh", "lean", "mix", "partitions", "running", "shared_dir", "ship", "slices", "windows", "word_count"]
 
 SLICE_BYTES = 2 << 20
+BATCH_BYTES = 4 << 20
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, and bound the bytes of a batch that a Python worker gets."""
+    storage.ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(f):
+    """A function over batches that leaves no freed memory behind in its worker."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 # ------------------------------------------------------------------ native expressions
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; null counts as none."""
@@ -206,7 +238,7 @@ def running(df: DataFrame, scratch: Scratch, table: str, order: Sequence[str], s
 
     n = partitions(spark)
     dealt = df.repartitionByRange(n, *[F.col(c) for c in order]).sortWithinPartitions(*order)
-    saved = scratch.save(dealt.mapInArrow(scan, out_schema), table)
+    saved = scratch.save(dealt.mapInArrow(lean(scan), out_schema), table)
     keys = [part] + ([g] if g else [])
     totals = saved.groupBy(*keys).agg(*[F.sum(s).alias(f"_t{i}") for i, s in enumerate(sources)]).toPandas()
     totals = totals.sort_values([g, part] if g else [part]).reset_index(drop=True)

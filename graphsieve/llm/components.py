@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, lean, ship
 
 EDGES_A_TASK = 400_000
 
@@ -54,7 +54,7 @@ def components(edges: DataFrame, scratch: Scratch, table: str, most: int = EDGES
     while True:
         tasks = max(1, -(-current.count() // most))
         dealt = current.repartition(tasks, "a") if tasks > 1 else current.coalesce(1)
-        stars = scratch.save(dealt.mapInArrow(_stars, "node long, label long"), f"{table}-{k}")
+        stars = scratch.save(dealt.mapInArrow(lean(_stars), "node long, label long"), f"{table}-{k}")
         if tasks == 1:
             return stars
         best = stars.groupBy("node").agg(F.min("label").alias("m"), F.collect_set("label").alias("all"))  # at most one label a task

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, running, ship
+from .common import Scratch, lean, running, ship
 
 CHROME, OPEN, MAIN = 0, 1, 2
 
@@ -230,7 +230,7 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 hashes.append([line_hash(t) for _, t in lines])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(needs, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "path", "need", "lines"])
 
-    seen = scratch.save(base.select(key.alias("key"), "url", "html").mapInArrow(survey, "key long, host string, path string, need boolean, lines array<bigint>").withColumn("one", F.lit(1).cast("long")), "survey")
+    seen = scratch.save(base.select(key.alias("key"), "url", "html").mapInArrow(lean(survey), "key long, host string, path string, need boolean, lines array<bigint>").withColumn("one", F.lit(1).cast("long")), "survey")
     partners = None
     if not seen.where("need").isEmpty():
         order = running(seen.select("host", "path", "key", "need", "one"), scratch, "order", ["host", "path", "key"], {"rank": "one"})
@@ -253,5 +253,5 @@ def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         rows = base.withColumn("partner", F.lit(None).cast("array<bigint>"))
     else:
         rows = base.withColumn("key", key).join(partners, "key", "left").select("id", "url", "html", "partner")
-    out = rows.mapInArrow(extract, f"id {id_type}, url string, text string, n_chars long")
+    out = rows.mapInArrow(lean(extract), f"id {id_type}, url string, text string, n_chars long")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")

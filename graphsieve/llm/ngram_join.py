@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, buffers, mix, partitions, ship, slices, windows
+from .common import Scratch, Words, buffers, lean, mix, partitions, ship, slices, windows
 from .components import components, find_roots
 
 WIDTH = 5
@@ -365,17 +365,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = Scratch(spark, "ngrams")
     parts = min(partitions(spark), 60_000)
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sent = pairs.mapInArrow(_sender(parts, width, salt), _ROWS).repartitionById(parts, F.col("part"))
-    staged = scratch.save(sent.mapInArrow(_lister(parts), _ROWS), "staged", "kind")
+    sent = pairs.mapInArrow(lean(_sender(parts, width, salt)), _ROWS).repartitionById(parts, F.col("part"))
+    staged = scratch.save(sent.mapInArrow(lean(_lister(parts)), _ROWS), "staged", "kind")
     scratch.settle()
     rows = staged.where(F.col("kind") == DOC).select("id", "n", "k1", "k2")
     classes = scratch.save(rows.where("n > 0").groupBy("k1").agg(F.count("*").alias("w"), F.min("id").alias("rep"), F.min("k2").alias("lo"), F.max("k2").alias("hi")), "classes")
     if not classes.where("lo != hi").isEmpty():
         return jaccard_components(docs, id_col, text_col, width, percent, block, salt + 1)
     lists = staged.where(F.col("kind") != DOC).select("part", "kind", "keys", "counts", "body", "extra").repartitionById(parts, F.col("part")).select("kind", "keys", "counts", "body", "extra")
-    sets = scratch.save(lists.mapInArrow(_gather(percent), "sid long, k1 long, n long, prefix long, tokens binary"), "sets")
-    heads = sets.select("sid", "prefix", "tokens").mapInArrow(_prefix_sender(parts), "part int, keys binary, counts binary, body binary").repartitionById(parts, F.col("part"))
-    cells = components(heads.mapInArrow(_star, "a long, b long"), scratch, "cells").withColumnsRenamed({"node": "sid", "label": "cell"})
+    sets = scratch.save(lists.mapInArrow(lean(_gather(percent)), "sid long, k1 long, n long, prefix long, tokens binary"), "sets")
+    heads = sets.select("sid", "prefix", "tokens").mapInArrow(lean(_prefix_sender(parts)), "part int, keys binary, counts binary, body binary").repartitionById(parts, F.col("part"))
+    cells = components(heads.mapInArrow(lean(_star), "a long, b long"), scratch, "cells").withColumnsRenamed({"node": "sid", "label": "cell"})
     volume = sets.select("sid", "k1", "n", (F.octet_length("tokens") / 8).cast("long").alias("m")).join(cells, "sid")
     total = volume.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum("m") / block)).cast("int").alias("blocks"))
     about = volume.join(total, "cell").join(classes.select("k1", "w"), "k1").select("sid", "cell", "blocks", "w", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("own"))
@@ -383,7 +383,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     side = F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2))
     grouped = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "w", side.cast("int").alias("side"), "tokens")
     grouped = grouped.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "sid")
-    found = scratch.save(grouped.mapInArrow(_searcher(percent), "a long, b long, links long"), "links")
+    found = scratch.save(grouped.mapInArrow(lean(_searcher(percent)), "a long, b long, links long"), "links")
     label = components(found.select("a", "b").where("a != b"), scratch, "linked").withColumnsRenamed({"node": "sid"})
     count = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
     named = sets.select("sid", "k1").join(label, "sid").join(count, "sid", "left").join(classes.select("k1", "rep"), "k1")

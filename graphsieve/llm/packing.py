@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, running, ship
+from .common import Scratch, lean, running, ship
 from .tokens import Encoder
 
 CAPACITY = 2048
@@ -173,7 +173,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col:
                         rows.append((names[i + d], k, s - a, e - s, zlib.crc32(raw[4 * s : 4 * e])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), PIECES)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", lead: bool = False) -> DataFrame:
@@ -197,5 +197,5 @@ def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, capacity:
             s, o = places.find(b.column(3).to_numpy(zero_copy_only=False), b.column(5).to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(5)], pa.array(s), pa.array(o)], ["id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(settle, PIECES + ", sequence_id long, offset long")
+    out = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(lean(settle), PIECES + ", sequence_id long, offset long")
     return out.withColumnRenamed("id", id_col)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fresh, ship
+from .common import Scratch, fresh, lean, ship
 
 KINDS = ("email", "iban", "secret", "mac", "ip", "ssn", "card", "phone", "given_m", "given_f", "given_n", "surname")
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -279,7 +279,7 @@ def resolve(known: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
     settled, k = None, 0
     todo = known.withColumn("attempt", F.lit(0))
     while True:
-        made = scratch.save(todo.mapInArrow(_draw(key), schema), f"made{k}")
+        made = scratch.save(todo.mapInArrow(lean(_draw(key)), schema), f"made{k}")
         # of equal replacements the smallest canon keeps its own; earlier ones are kept before
         rivals = made.groupBy("kind", "made").agg(F.min("canon").alias("first"))
         bad = made.join(rivals, ["kind", "made"]).where("canon != first").select("kind", "canon", "attempt")
@@ -305,7 +305,7 @@ def replace_pii(docs: DataFrame, key: bytes = b"graphsieve", id_col: str = "doc_
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "pii")
-    known = scratch.save(docs.select(F.col(text_col)).mapInArrow(_distinct, "kind string, canon string").distinct(), "known")
+    known = scratch.save(docs.select(F.col(text_col)).mapInArrow(lean(_distinct), "kind string, canon string").distinct(), "known")
     again = scratch.save(resolve(known, key, scratch).where("attempt > 0").select("kind", "canon", "attempt"), "again")
     source, extra = docs, fresh(docs, "_attempts")
     if again.isEmpty():
@@ -318,7 +318,7 @@ def replace_pii(docs: DataFrame, key: bytes = b"graphsieve", id_col: str = "doc_
                 rows = {(h, x.kind, x.canon) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for x in entities(t)}
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.string()))], ["h", "kind", "canon"])
 
-        where = docs.select(row.alias("h"), F.col(text_col)).mapInArrow(occurrences, "h long, kind string, canon string").distinct()
+        where = docs.select(row.alias("h"), F.col(text_col)).mapInArrow(lean(occurrences), "h long, kind string, canon string").distinct()
         lists = scratch.save(where.join(again, ["kind", "canon"]).groupBy("h").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(extra)), "lists")
         h = fresh(docs, "_h")
         # few texts have such an entity: only those meet the list
@@ -345,4 +345,4 @@ def replace_pii(docs: DataFrame, key: bytes = b"graphsieve", id_col: str = "doc_
             yield pa.RecordBatch.from_arrays(columns, [*docs_columns, *([total, *names] if counts else [])])
 
     docs_columns = docs.columns
-    return source.select(*[F.col(f"`{c}`") for c in docs_columns], extra).mapInArrow(run, schema)
+    return source.select(*[F.col(f"`{c}`") for c in docs_columns], extra).mapInArrow(lean(run), schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, buffers, fresh, ship, slices, windows
+from .common import Scratch, Words, buffers, fresh, lean, ship, slices, windows
 
 RULES = ("symbol_ratio", "upper_ratio", "repeat_line_ratio")
 LEAST_BAD = 10
@@ -116,7 +116,7 @@ def with_measures(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *measure(b.column(b.num_columns - 1))], [*b.schema.names[:-1], *names])
 
-    return base.mapInArrow(run, schema)
+    return base.mapInArrow(lean(run), schema)
 
 
 def base_failed(words: str = "n_words", repeats: str = "n_repeat_words"):
@@ -236,7 +236,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *measure(b.column(at))], [*b.schema.names, *renamed.values()])
 
-    judged = docs.mapInArrow(run, schema)
+    judged = docs.mapInArrow(lean(run), schema)
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0null"))
     bad = (F.col(renamed["n_words"]) < 20) | (100 * F.col(renamed["n_repeat_words"]) > 30 * F.col(renamed["n_words"]))
     for (s, r), cut in sorted(cutoffs.items()):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, partitions, running, ship
+from .common import Scratch, lean, partitions, running, ship
 from .tokens import Encoder
 
 WINDOW, LEAST, MOST, MASK = 12, 96, 2048, np.uint64(511)
@@ -164,8 +164,8 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
     out = "recipe boolean, digest binary, id long, n long, payload binary, root binary"
     pairs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     spread = F.coalesce("digest", F.col("root"))
-    dealt = pairs.mapInArrow(encode, out).repartition(partitions(spark), F.when(F.col("recipe"), F.xxhash64("id", spread)).otherwise(F.xxhash64("digest")))
-    dealt.mapInArrow(once, out).write.mode("overwrite").option("compression", "zstd").partitionBy("recipe").parquet(f"{path}/staged")
+    dealt = pairs.mapInArrow(lean(encode), out).repartition(partitions(spark), F.when(F.col("recipe"), F.xxhash64("id", spread)).otherwise(F.xxhash64("digest")))
+    dealt.mapInArrow(lean(once), out).write.mode("overwrite").option("compression", "zstd").partitionBy("recipe").parquet(f"{path}/staged")
     staged = spark.read.schema(out).parquet(f"{path}/staged")
     scratch = Scratch(spark, "store")
     recipes = running(staged.where("recipe").select("id", F.col("n").alias("n_tokens"), F.col("payload").alias("digests"), "root", F.lit(1).cast("long").alias("one")), scratch, "recipes", ["id", "root"], {"start": "n_tokens", "ordinal": "one"})
@@ -191,7 +191,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str, end_id: int, id_col
             yield pa.RecordBatch.from_pydict({"first": [first], "documents": [count], "root": [merkle([x for x in reversed(levels) if x is not None])]}, schema=pa.schema([("first", pa.int64()), ("documents", pa.int64()), ("root", pa.binary())]))
 
     written = spark.read.parquet(f"{path}/recipes").select("ordinal", "root")
-    ranges = written.mapInArrow(roots, "first long, documents long, root binary").toPandas().sort_values("first")  # one row a file
+    ranges = written.mapInArrow(lean(roots), "first long, documents long, root binary").toPandas().sort_values("first")  # one row a file
     manifest = [(int(f), int(n), bytes(r)) for f, n, r in zip(ranges["first"], ranges["documents"], ranges["root"])]
     manifest.append((-1, sum(n for _, n, _ in manifest), merkle([r for _, _, r in manifest])))
     spark.createDataFrame(manifest, "first long, documents long, root binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
@@ -217,7 +217,7 @@ def read_crcs(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
             good = [blake2b(p, digest_size=16).digest() == d for p, d in zip(payloads, digests)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(crc, pa.int64()), pa.array(good, pa.bool_())], ["digest", "n", "crc", "good"])
 
-    chunks = _chunks(spark, path).mapInArrow(sums, "digest binary, n long, crc long, good boolean")
+    chunks = _chunks(spark, path).mapInArrow(lean(sums), "digest binary, n long, crc long, good boolean")
     recipes = spark.read.parquet(f"{path}/recipes")
     k = F.expr("sequence(0, cast(length(digests) / 16 as int) - 1)")
     parts = recipes.select("ordinal", F.explode(k).alias("k"), "digests").select("ordinal", "k", F.expr("substring(digests, k * 16 + 1, 16)").alias("digest"))
@@ -236,7 +236,7 @@ def read_crcs(spark: SparkSession, path: str, wide: bool = False) -> DataFrame:
             fine = np.logical_and.reduceat(good, bounds[:-1]) if len(n) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(crc_join(crc, n, bounds, shifts).astype(np.int64)), pa.array(total.astype(np.int64)), pa.array(fine), pa.array(np.diff(bounds).astype(np.int64))], ["ordinal", "ids_crc32", "found", "fine", "n_chunks"])
 
-    done = lists.mapInArrow(compose, "ordinal long, ids_crc32 long, found long, fine boolean, n_chunks long")
+    done = lists.mapInArrow(lean(compose), "ordinal long, ids_crc32 long, found long, fine boolean, n_chunks long")
     out = recipes.select("ordinal", "doc_id", "start", "n_tokens").join(done, "ordinal")
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", (F.col("fine") & (F.col("found") == F.col("n_tokens"))).alias("verified"), "n_chunks")
 
@@ -255,4 +255,4 @@ def read_documents(spark: SparkSession, path: str, wide: bool = False) -> DataFr
             ids = [np.frombuffer(b"".join(p["payload"] for p in x), kind).astype(np.int32) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["ordinal", "ids"])
 
-    return recipes.select("ordinal", "doc_id").join(lists.mapInArrow(join, "ordinal long, ids array<int>"), "ordinal").select("doc_id", "ids")
+    return recipes.select("ordinal", "doc_id").join(lists.mapInArrow(lean(join), "ordinal long, ids array<int>"), "ordinal").select("doc_id", "ids")
