@@ -35,6 +35,7 @@ from .components import components, find_roots
 WIDTH = 5
 FLUSH = 2_000_000  # shingles that a task holds before it sends them
 BLOCK = 1_500_000  # shingles of a cell that one block may hold
+MEMBERS = 384  # classes of a cell that one block may hold
 LOW = np.uint64((1 << 48) - 1)
 _ROWS = "kind int, part int, id long, n long, k1 long, k2 long, keys binary, counts binary, body binary, extra binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary()), ("extra", pa.binary())])
@@ -377,7 +378,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = sets.select("sid", "prefix", "tokens").mapInArrow(lean(_prefix_sender(parts)), "part int, keys binary, counts binary, body binary").repartitionById(parts, F.col("part"))
     cells = components(heads.mapInArrow(lean(_star), "a long, b long"), scratch, "cells").withColumnsRenamed({"node": "sid", "label": "cell"})
     volume = sets.select("sid", "k1", "n", (F.octet_length("tokens") / 8).cast("long").alias("m")).join(cells, "sid")
-    total = volume.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum("m") / block)).cast("int").alias("blocks"))
+    total = volume.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.sum("m") / block), F.ceil(F.count("*") / MEMBERS)).cast("int").alias("blocks"))
     about = volume.join(total, "cell").join(classes.select("k1", "w"), "k1").select("sid", "cell", "blocks", "w", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("own"))
     dealt = sets.select("sid", "n", "tokens").join(about, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2))
