@@ -75,7 +75,7 @@ _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[list(range(65, 91)) + list(range(97, 123))] = True
 _MARK = np.zeros(256, bool)
-_MARK[list(b".,;:!?%&$*#|()")] = True
+_MARK[list(b".,;:!?%&$*#()")] = True
 _rng = np.random.Generator(np.random.PCG64(20240521))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 0x9E3779B97F4A7C15

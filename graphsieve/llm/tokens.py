@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -69,12 +70,23 @@ class Encoder:
         self.length = np.insert(self.length, where, length)
         self.used += total
 
+    @staticmethod
+    def _keep_case(words: Words) -> None:
+        """Special tokens are looked for before any lower-casing: words that may hold one keep their case."""
+        raw = words.data
+        opens = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        for w in np.unique(np.searchsorted(words.starts, opens, "right") - 1).tolist():
+            text = raw[words.starts[w] : words.ends[w]].tobytes()
+            words.hash[w] = int.from_bytes(blake2b(text, digest_size=8).digest(), "big")
+
     def slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of consecutive texts, and where each text's ids begin and the last ends."""
         words = Words(data, offsets, lead=self.lead, lower=self.lower, marks=True)
         n = len(offsets) - 1
         if not len(words.starts):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
+        if self.lower:
+            self._keep_case(words)
         hashes, first, which = np.unique(words.hash, return_index=True, return_inverse=True)
         if len(self.hash) > MOST_REMEMBERED:
             self.forget()
