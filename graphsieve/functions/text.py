@@ -137,8 +137,9 @@ def candidates(code: Column) -> Column:
 
 
 def occurrences(text: Column, word: str) -> Column:
-    """Occurrences that do not overlap."""
-    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+    """Occurrences that do not overlap; texts without the word cost one search and no copy."""
+    gone = F.octet_length(text) - F.octet_length(F.replace(text, F.lit(word), F.lit("")))
+    return F.when(F.contains(text, F.lit(word)), (gone / len(word.encode())).cast("int")).otherwise(0)
 
 
 def is_literal_code(code: Column) -> Column:

@@ -90,9 +90,15 @@ def budget_prefix(files: DataFrame, budget: int, used: int = 0) -> DataFrame:
     files: path, score, tokens.  Totals a range of scores come first, so only the rows of
     the range in which the budget ends are summed in order.
     """
-    by_score = files.groupBy("score").agg(F.sum("tokens").alias("n"))
+    from ..storage import Scratch
+
+    # scores may be costly to compute: they are written once, the other columns join at the end
+    small = Scratch(files.sparkSession, "budget").save(files.select("path", "score", "tokens"), "scores")
+    by_score = small.groupBy("score").agg(F.sum("tokens").alias("n"))
     before = by_score.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     edge = before.where(F.col("before") + used < budget)  # scores are few: they are small integers
     w = Window.partitionBy("score").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    out = files.join(edge.select("score", "before"), "score").withColumn("used", F.col("before") + F.sum("tokens").over(w) + used)
-    return out.where(F.col("used") <= budget).drop("before")
+    out = small.join(edge.select("score", "before"), "score").withColumn("used", F.col("before") + F.sum("tokens").over(w) + used)
+    chosen = out.where(F.col("used") <= budget).select("path", "score", "tokens", "used")
+    others = [c for c in files.columns if c not in ("score", "tokens")]
+    return chosen if others == ["path"] else files.select(*others).join(chosen, "path")
