@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--severity", type=Severity.parse, default=None)
     p.add_argument("--confidence", type=Confidence.parse, default=None)
     p.add_argument("--sarif", help="write SARIF to this file")
+    p.add_argument("--summary", action="store_true", help="without the steps of flows, which is faster")
     p.add_argument("--surface-only", action="store_true")
     p.add_argument("--max-findings", type=int, default=3)
     p.add_argument("--depth", type=int, default=10)
@@ -86,7 +87,7 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
             if a.surface_only:
                 return 0
             rules = library.scan_rules(a.language, a.coverage)
-            found = e.scan(a.language, severity=a.severity, confidence=a.confidence, rules=rules)
+            found = e.scan(a.language, severity=a.severity, confidence=a.confidence, rules=rules, trace=not a.summary)
             print(ConsoleReporter(a.max_findings).report(found))
             if a.sarif:
                 with open(a.sarif, "w", encoding="utf-8") as f:

@@ -119,8 +119,8 @@ class Engine:
     def endpoints(self, language: str | None = None, depth: int = 10) -> DataFrame:
         return endpoints.get_endpoints(self.graph, language, depth)
 
-    def scan(self, language: str | None = "python", coverage: str = "precision", severity: Severity | None = None, confidence: Confidence | None = None, rules: Sequence[ScanRule] | None = None) -> DataFrame:
-        return scans.run_scans(self.graph, rules if rules is not None else library.scan_rules(language, coverage), severity, confidence)
+    def scan(self, language: str | None = "python", coverage: str = "precision", severity: Severity | None = None, confidence: Confidence | None = None, rules: Sequence[ScanRule] | None = None, trace: bool = False) -> DataFrame:
+        return scans.run_scans(self.graph, rules if rules is not None else library.scan_rules(language, coverage), severity, confidence, trace)
 
     def pack(self, root: str, budget: int = 100_000, language: str | None = "python") -> str:
         import os

@@ -35,9 +35,10 @@ class Graph:
     reachability and dominance are comparisons of positions instead of a fixpoint.
     """
 
-    def __init__(self, nodes: DataFrame, edges: DataFrame, chain: DataFrame | None = None):
+    def __init__(self, nodes: DataFrame, edges: DataFrame, chain: DataFrame | None = None, root: str | None = None):
         self.spark = nodes.sparkSession
         self.nodes, self.edges, self.chain = complete(nodes, NODES), complete(edges, EDGES), chain
+        self.root = root  # empty: known to be absent
 
     @classmethod
     def of_rows(cls, spark: SparkSession, nodes: Iterable[dict], edges: Iterable[tuple]) -> Graph:
@@ -81,7 +82,7 @@ class Graph:
         """The graph as written tables by label, so that no query computes it again."""
         scratch = Scratch(self.spark, "graph")
         chain = None if self.chain is None else scratch.save(self.chain, "chain")
-        return Graph(scratch.save(self.nodes, "nodes", "label"), scratch.save(self.edges, "edges", "label"), chain)
+        return Graph(scratch.save(self.nodes, "nodes", "label"), scratch.save(self.edges, "edges", "label"), chain, self.root)
 
     def views(self, prefix: str = "") -> None:
         self.nodes.createOrReplaceTempView(f"{prefix}nodes")
@@ -92,8 +93,12 @@ class Graph:
         return self.spark.sql(text, nodes=self.nodes, edges=self.edges) if "{nodes}" in text or "{edges}" in text else (self.views(), self.spark.sql(text))[1]
 
     def metadata_root(self) -> str | None:
+        """The root that the first META_DATA node names; looked up once."""
+        if self.root is not None:
+            return self.root or None
         row = self.label("META_DATA").select("full_name").limit(1).collect()
-        return row[0][0] if row else None
+        self.root = (row[0][0] if row else None) or ""
+        return self.root or None
 
 
 def complete(df: DataFrame, schema: T.StructType) -> DataFrame:

@@ -154,6 +154,7 @@ def call_graph(
     external: str | None = None,
     interesting_only: bool = False,
     conditions: bool = False,
+    traces: bool = False,
     starts: DataFrame | None = None,
 ) -> DataFrame:
     """The call tree as flat rows: root, path, depth, cut, name, full_name, file, line, category, barriers, is_dominated.
@@ -187,6 +188,9 @@ def call_graph(
         guarded = b.select(F.col("id").alias("up"))
         above = out.select("root", "path", F.explode(F.slice("path", 1, F.greatest(F.lit(0), F.size("path") - 1))).alias("up")).join(guarded, "up", "left_semi").select("root", "path").distinct()
         out = out.join(above.withColumn("_up", F.lit(True)), ["root", "path"], "left").withColumn("is_dominated", F.coalesce("_up", F.lit(False)) & F.col("barriers").isNull()).drop("_up")
+    if traces:
+        out = out.join(_argument_traces(g), [F.get("path", F.size("path") - 2) == F.col("_src"), F.col("node") == F.col("_dst")], "left").drop("_src", "_dst")
+        out = out.withColumn("traces", F.when(F.col("category").isNotNull(), F.coalesce("traces", F.expr("cast(array() as array<string>)"))))
     if conditions:
         sites = g.label("CALL").select("id", F.col("method_id").alias("src")).join(g.links("CALL").select(F.col("src").alias("id"), F.col("dst").alias("node")), "id")
         cond = sites.join(control_conditions(g), "id").groupBy("src", "node").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("conditions")))).alias("conditions"))
@@ -195,6 +199,21 @@ def call_graph(
     return out
 
 
+#: Parameters that say nothing about a flow.
+_NOISY = ("this", "self", "resolve", "reject", "callback", "cb", "next", "res", "req", "ctx")
+
+
+def _argument_traces(g: Graph) -> DataFrame:
+    """_src, _dst, traces: what a method's calls of another pass on, parameter by parameter, without literals."""
+    sites = g.label("CALL").select(F.col("id").alias("call"), F.col("method_id").alias("_src")).join(g.links("CALL").select(F.col("src").alias("call"), F.col("dst").alias("_dst")), "call")
+    args = g.argument().where("idx > 0").join(sites, "call").join(g.nodes.where("label <> 'LITERAL'").select(F.col("id").alias("arg"), F.col("code").alias("what")), "arg")
+    params = g.label("METHOD_PARAMETER_IN").select(F.col("id").alias("root"), F.col("name").alias("param"), F.col("method_id").alias("_src"))
+    found = reach(flow_edges(g), params.select("root", F.col("root").alias("node"))).select("root", F.col("node").alias("arg"))
+    hits = args.join(found, "arg").join(params, ["root", "_src"])
+    shown = F.concat(F.lit("arg: "), "what", F.lit(" <- param: "), "param")
+    return hits.where(~F.lower("param").isin(*_NOISY)).groupBy("_src", "_dst").agg(F.array_sort(F.collect_set(shown)).alias("traces"))
+
+
 def interesting_counts(tree: DataFrame) -> DataFrame:
     """root and its number of categorised rows, most first."""
     return tree.groupBy("root").agg(F.count_if(F.col("category").isNotNull()).alias("interesting")).orderBy(F.col("interesting").desc(), "root")

@@ -193,9 +193,9 @@ def describe(g: Graph, rows: DataFrame, names: Sequence[str], keep: Sequence[str
 
 def with_trace(g: Graph, matches: DataFrame) -> DataFrame:
     """``path`` as an array of steps: file, line, col, method, code, line_end, col_end."""
-    at = matches.select("node_id", "source_id", F.posexplode("path").alias("k", "id"))
+    at = matches.select("node_id", "source_id", F.posexplode("path").alias("k", "id")).distinct()
     methods = g.label("METHOD").select(F.col("id").alias("method_id"), F.col("full_name").alias("method"))
     steps = at.join(g.nodes.select("id", "filename", "line", "col", "code", "line_end", "col_end", "method_id"), "id").join(methods, "method_id", "left")
     one = F.struct("k", F.col("filename").alias("file"), "line", "col", "method", "code", "line_end", "col_end")
     lists = steps.groupBy("node_id", "source_id").agg(F.array_sort(F.collect_list(one)).alias("trace"))
-    return matches.join(lists, ["node_id", "source_id"], "left")
+    return matches.join(lists, ["node_id", "source_id"], "left").select(*matches.columns, "trace")

@@ -19,7 +19,7 @@ from ..rules.model import Confidence, ScanRule, Severity
 from ..storage import Scratch
 from .closure import flow_edges, reach
 from .findings import deduplicate
-from .query import describe, execute, points
+from .query import describe, execute, points, with_trace
 
 _COLUMNS = ("rule", "rule_id", "severity", "confidence")
 
@@ -28,26 +28,30 @@ def _labelled(df: DataFrame, rule: ScanRule) -> DataFrame:
     return df.select(F.lit(rule.name).alias("rule"), F.lit(rule.rule_id).alias("rule_id"), F.lit(int(rule.severity)).alias("severity"), F.lit(int(rule.confidence)).alias("confidence"), *df.columns)
 
 
-def run_scans(g: Graph, rules: Sequence[ScanRule], severity: Severity | None = None, confidence: Confidence | None = None) -> DataFrame:
-    """Findings of all rules at or above the floors, one match for each place, source method and bindings."""
+def run_scans(g: Graph, rules: Sequence[ScanRule], severity: Severity | None = None, confidence: Confidence | None = None, trace: bool = False) -> DataFrame:
+    """Findings of all rules at or above the floors, one match for each place, source method and bindings.
+
+    trace adds the steps of one shortest path of each flow, as ``with_trace`` gives them.
+    """
     rules = [r for r in rules if (severity is None or r.severity >= severity) and (confidence is None or r.confidence >= confidence)]
     if not rules:
         return _labelled(deduplicate(describe(g, _no_rows(g), [])), ScanRule("none", None)).limit(0)  # type: ignore[arg-type]
     scratch = Scratch(g.spark, "scans")
-    shared = [r for r in rules if len(r.query.steps) == 1 and g.chain is None and not r.query.trace]
+    shared = [r for r in rules if len(r.query.steps) == 1 and g.chain is None]
     out = []
     if shared:
-        out += _shared(g, shared, scratch)
+        out += _shared(g, shared, scratch, trace)
     for r in (r for r in rules if r not in shared):
-        out.append(_labelled(deduplicate(execute(g, r.query)), r))
-    return reduce(DataFrame.unionByName, out)
+        out.append(_labelled(deduplicate(execute(g, r.query.with_trace() if trace else r.query)), r))
+    found = reduce(DataFrame.unionByName, out)
+    return with_trace(g, scratch.save(found, "found")) if trace else found
 
 
 def _no_rows(g: Graph) -> DataFrame:
     return g.spark.createDataFrame([], "sink_owner long, source_id long, depth int, path array<bigint>")
 
 
-def _shared(g: Graph, rules: list[ScanRule], scratch: Scratch) -> list[DataFrame]:
+def _shared(g: Graph, rules: list[ScanRule], scratch: Scratch, trace: bool) -> list[DataFrame]:
     groups: dict[tuple, int] = {}
     sources, sinks, blocked = [], [], {}
     for k, r in enumerate(rules):
@@ -65,15 +69,17 @@ def _shared(g: Graph, rules: list[ScanRule], scratch: Scratch) -> list[DataFrame
     starts = scratch.save(reduce(DataFrame.unionByName, sources), "sources")
     ends = scratch.save(reduce(DataFrame.unionByName, sinks), "sinks")
     stop = scratch.save(reduce(DataFrame.unionByName, blocked.values()), "blocked") if blocked else None
-    found = reach(flow_edges(g), starts.select("grp", F.col("id").alias("root"), F.col("id").alias("node")), blocked=stop)
+    found = reach(flow_edges(g), starts.select("grp", F.col("id").alias("root"), F.col("id").alias("node")), blocked=stop, trace=trace)
+    if not trace:
+        found = found.withColumn("path", F.lit(None).cast("array<bigint>"))
     hits = found.join(ends.withColumnsRenamed({"id": "node", "bound": "b"}), ["grp", "node"])
     hits = hits.join(starts.withColumnsRenamed({"id": "root", "bound": "a"}), ["k", "grp", "root"])
     # names that both ends bind have equal code; empty code binds nothing
     same = F.expr("forall(map_keys(a), n -> (a[n] is null or b[n] is null or a[n] = b[n]) and coalesce(a[n], b[n], '-') <> '')")
     bound = F.expr("transform_values(a, (n, v) -> coalesce(v, b[n]))")
-    rows = hits.where(same).select("k", F.col("root").alias("source_id"), F.col("owner").alias("sink_owner"), "depth", bound.alias("bound"))
-    rows = rows.groupBy("k", "source_id", "sink_owner", F.to_json("bound").alias("j")).agg(F.min("depth").alias("depth"), F.any_value("bound").alias("bound"))
-    rows = scratch.save(rows.select("k", "source_id", "sink_owner", "depth", F.lit(None).cast("array<bigint>").alias("path"), "bound"), "rows")
+    rows = hits.where(same).select("k", F.col("root").alias("source_id"), F.col("owner").alias("sink_owner"), "depth", "path", bound.alias("bound"))
+    rows = rows.groupBy("k", "source_id", "sink_owner", F.to_json("bound").alias("j")).agg(F.min(F.struct("depth", "path")).alias("best"), F.any_value("bound").alias("bound"))
+    rows = scratch.save(rows.select("k", "source_id", "sink_owner", "best.depth", "best.path", "bound"), "rows")
     marks = g.spark.createDataFrame([(k, r.name, r.rule_id, int(r.severity), int(r.confidence)) for k, r in enumerate(rules)], "k int, rule string, rule_id string, severity int, confidence int")
     seen = describe(g, rows.drop("bound"), [], keep=("k",)).drop("bindings")
     one = rows.select("k", F.col("source_id"), F.col("sink_owner").alias("node_id"), F.map_filter("bound", lambda _, v: v.isNotNull()).alias("bindings"))

@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import base_name, full_match, glob_to_regex, occurrences
+from ..functions.text import base_name, full_match, glob_to_regex
 from ..rules.scoring import AUTH_GUARD_KEYWORDS, BACKEND_PATH_HINTS, CRITICAL_FILE_PATTERNS, FRONTEND_PATH_HINTS, FRONTEND_SUFFIXES, SECURITY_KEYWORDS
 
 
-def keyword_counts(text: Column) -> tuple[Column, Column]:
-    """Number of keywords that occur, and of all their occurrences."""
-    counts = [occurrences(text, k) for k in SECURITY_KEYWORDS]
-    hits = sum(((c > 0).cast("int") for c in counts), F.lit(0))
-    return hits, sum(counts, F.lit(0))
+def keyword_counts(text: Column) -> Column:
+    """array<int>: occurrences of each keyword.
+
+    One loop over an array of the keywords: dozens of unrolled searches would make a
+    generated method that is too large for the JVM to compile.
+    """
+
+    def count(word: Column) -> Column:
+        gone = F.octet_length(text) - F.octet_length(F.replace(text, word, F.lit("")))
+        return F.when(F.contains(text, word), (gone / F.octet_length(word)).cast("int")).otherwise(0)
+
+    return F.transform(F.array(*[F.lit(k) for k in SECURITY_KEYWORDS]), count)
 
 
 def is_frontend(path: Column) -> Column:
@@ -35,14 +42,16 @@ def score_files(files: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
     repetitions dominate; 15 a guard signal up to 45; front-end code -60, else front-end
     file types -40.
     """
-    text = F.lower("content")
-    hits, total = keyword_counts(text)
+    files = files.withColumn("_text", F.lower("content"))
+    text = F.col("_text")
+    files = files.withColumn("_counts", keyword_counts(text))
+    hits, total = F.size(F.filter("_counts", lambda c: c > 0)), F.aggregate("_counts", F.lit(0), lambda a, c: a + c)
     name = F.lower(base_name(F.col("path")))
     pattern = None
     for p in CRITICAL_FILE_PATTERNS:
         hit = full_match(name, f"(?s){glob_to_regex(p)}")
         pattern = F.when(hit, F.lit(p)) if pattern is None else pattern.when(hit, F.lit(p))
-    guards = sum((text.contains(k).cast("int") for k in AUTH_GUARD_KEYWORDS), F.lit(0))
+    guards = F.size(F.filter(F.array(*[F.lit(k) for k in AUTH_GUARD_KEYWORDS]), lambda k: F.contains(text, k)))
     out = files.select("*", hits.alias("_hits"), total.alias("_total"), guards.alias("_guards"), pattern.alias("_pattern"), is_frontend(F.col("path")).alias("_front"), F.lower("path").rlike(rf"\.({'|'.join(FRONTEND_SUFFIXES)})$").alias("_type"))
     if boosts is not None:
         best = boosts.groupBy("path").agg(F.max("boost").alias("_boost"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("reasons")))).alias("_why"))
@@ -71,7 +80,7 @@ def score_files(files: DataFrame, boosts: DataFrame | None = None) -> DataFrame:
             ),
         )
     )
-    return out.withColumn("score", score.cast("int")).withColumn("reasons", why).drop("_hits", "_total", "_guards", "_pattern", "_front", "_type", "_boost", "_why")
+    return out.withColumn("score", score.cast("int")).withColumn("reasons", why).drop("_text", "_counts", "_hits", "_total", "_guards", "_pattern", "_front", "_type", "_boost", "_why")
 
 
 def distance_boost(distance: Column, category: Column) -> Column:

@@ -26,7 +26,7 @@ def events(spark: SparkSession, sf_dir: str, chain: bool = True) -> Graph:
     step = e.select(F.lag("event_id").over(w).alias("src"), F.col("event_id").alias("dst")).where("src is not null")
     edges = step.withColumn("label", F.lit("DDG")).unionByName(step.withColumn("label", F.lit("CFG")))
     nodes = calls.unionByName(methods, allowMissingColumns=True)
-    return Graph(nodes, edges, e.select(F.col("event_id").alias("id"), F.col("user_id").alias("chain"), "pos") if chain else None)
+    return Graph(nodes, edges, e.select(F.col("event_id").alias("id"), F.col("user_id").alias("chain"), "pos") if chain else None, root="")
 
 
 def conversations(spark: SparkSession, sf_dir: str) -> Graph:
@@ -37,7 +37,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> Graph:
     methods = c.select("conv_id").distinct().select(method.alias("id"), F.lit("METHOD").alias("label"), F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("name"))
     w = Window.partitionBy("conv_id").orderBy("turn")
     step = c.select(F.lag("id").over(w).alias("src"), F.col("id").alias("dst"), F.lit("CFG").alias("label")).where("src is not null")
-    return Graph(calls.unionByName(methods, allowMissingColumns=True), step)
+    return Graph(calls.unionByName(methods, allowMissingColumns=True), step, root="")
 
 
 def order_calls(spark: SparkSession, sf_dir: str) -> Graph:
@@ -51,7 +51,7 @@ def order_calls(spark: SparkSession, sf_dir: str) -> Graph:
     nodes = calls.unionByName(lines, allowMissingColumns=True).unionByName(people, allowMissingColumns=True)
     args = li.select(F.col("l_orderkey").alias("src"), F.col("id").alias("dst"), F.lit("ARGUMENT").alias("label"), F.col("l_linenumber").cast("int").alias("idx"))
     receiver = o.select(F.col("o_orderkey").alias("src"), (SPAN + F.col("o_custkey")).alias("dst"), F.lit("ARGUMENT").alias("label"), F.lit(0).alias("idx"))
-    return Graph(nodes, args.unionByName(receiver))
+    return Graph(nodes, args.unionByName(receiver), root="")
 
 
 def fields(spark: SparkSession, sf_dir: str) -> Graph:
@@ -73,7 +73,7 @@ def fields(spark: SparkSession, sf_dir: str) -> Graph:
     ck, ok = F.col("c_custkey"), F.col("o_orderkey")
     edges = arg(c, SPAN + ck, 2 * SPAN + F.col("c_nationkey"), 1).unionByName(arg(c, SPAN + ck, 3 * SPAN + ck, 2))
     edges = edges.unionByName(arg(o, ok, SPAN + F.col("o_custkey"), 1)).unionByName(arg(o, ok, 4 * SPAN + ok, 2))
-    return Graph(nodes, edges)
+    return Graph(nodes, edges, root="")
 
 
 def trade(spark: SparkSession, sf_dir: str) -> Graph:
@@ -95,7 +95,7 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
 
     steps = edge(n, "n_regionkey", 1, "n_nationkey", 2).unionByName(edge(c, "c_nationkey", 2, "c_custkey", 3)).unionByName(edge(o, "o_custkey", 3, "o_orderkey", 4))
     edges = steps.withColumn("label", F.lit("DDG")).unionByName(steps.withColumn("label", F.lit("AST")))
-    return Graph(nodes, edges)
+    return Graph(nodes, edges, root="")
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -160,6 +160,9 @@ def test_scan_and_reports(engine, tmp_path):
     log = json.loads(sarif.document(found, rules))
     assert log["version"] == "2.1.0" and log["runs"][0]["results"][0]["message"]["text"]
     assert len(log["runs"][0]["results"]) == found.count()
+    steps = run_scans(engine.graph, [r for r in rules if r.name == "Command Injection"], trace=True).collect()
+    ends = {(s["trace"][0]["code"], s["trace"][-1]["file"]) for s in steps}
+    assert ("cmd", "app.py") in ends and all(len(s["trace"]) >= 2 for s in steps)
     sarif.write(found, f"file://{tmp_path}/sarif")
 
 
@@ -189,6 +192,8 @@ def test_call_graph(engine):
     assert {r["name"] for r in callers} == {"unsafe", "home_view", "outer"}
     with pytest.raises(ValueError):
         engine.call_graph(direction="up")
+    traced = engine.call_graph("home_view", depth=2, heuristics=library.discovery_heuristics("python"), traces=True, conditions=True)
+    assert {r["name"] for r in traced.collect()} >= {"home_view", "unsafe"}
     assert "outer" in tree_text(engine.call_graph("outer", depth=2).withColumn("category", __import__("pyspark").sql.functions.lit(None).cast("string")))
 
 
@@ -238,6 +243,15 @@ def test_pack_cache_and_cli(spark, tmp_path, capsys):
     assert "os.system" in out and "sql-exec" in out
 
 
+def test_token_counter(spark):
+    import public_tokenizers
+    from graphsieve.functions.tokens import counter
+
+    count = counter(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    df = spark.createDataFrame([("hello world",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(count("t")).collect()] == [2, 0, 0]
+
+
 def test_incremental_import(spark, tmp_path):
     from graphsieve.streaming.ingest import linked, start
 
