@@ -302,7 +302,7 @@ class Field(Pattern):
     def filter(self, g: Graph, nodes: DataFrame, context: bool = False) -> DataFrame:
         out = nodes.where((F.col("label") == "CALL") & full_match("name", ".*fieldAccess.*"))
         held = self.receiver.scan(g).select(F.col("id").alias("arg"))
-        named = g.nodes.where(full_match("code", self.name)).select(F.col("id").alias("arg"))
+        named = g.label("FIELD_IDENTIFIER", "IDENTIFIER", "LITERAL").where(full_match("code", self.name)).select(F.col("id").alias("arg"))
         out = out.join(g.argument(1).join(held, "arg", "left_semi").select(F.col("call").alias("id")), "id", "left_semi")
         return out.join(g.argument(2).join(named, "arg", "left_semi").select(F.col("call").alias("id")), "id", "left_semi")
 
