@@ -202,10 +202,13 @@ def get_endpoints(g: Graph, language: str | None = None, depth: int = 10) -> Dat
 
 def display_name(controller: str) -> str:
     """Short name of a controller for a report."""
-    head = controller.split("::program")[0]
-    for mark in (":", "/", "\\"):
-        head = head.rsplit(mark, 1)[-1]
-    return head if "." in controller and controller.endswith((".py", ".js", ".ts")) else head.rsplit(".", 1)[-1]
+    module, found, _ = controller.partition("::program")
+    if found:
+        return module.replace("\\", "/").rsplit("/", 1)[-1]
+    mark = next((m for m in (":", "/", "\\") if m in controller), None)
+    if mark:
+        return controller.rsplit(mark, 1)[-1]
+    return controller if controller.endswith((".py", ".js", ".ts")) else controller.rsplit(".", 1)[-1]
 
 
 def render(endpoints: Sequence) -> str:
