@@ -34,18 +34,19 @@ NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "Doctor")
 _TITLE = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
 _FIND = re.compile(
-    r"(?P<email>[^\W_][\w.%+\-]*@[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,})"
+    r"(?P<email>(?<![\w.%+\-])[^\W_][\w.%+\-]*@[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,})"
     r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?:(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[\"']?\s*[=:]\s*[\"']?(?P<secret>[A-Za-z0-9_\-+/]{12,}))"
+    r"|(?:(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?(?P<secret>[A-Za-z0-9_\-+/]{12,}))"
     r"|(?P<secret2>\b(?:sk-|ghp_|gho_|AKIA|xox[abp]-|eyJ)[A-Za-z0-9_\-]{12,}|(?<![\w])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![\w]))"
     r"|(?P<mac>\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b)"
     rf"|(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d))"
     r"|(?P<phone>(?<![\d.])\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-/]?\d{2,4}){1,3}(?!\.?\d)|(?<![\d.+])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.+-])\d{3}[.\- ]\d{3}[.\- ]\d{4}(?![\d-]))"
-    rf"|(?:(?<!\w)(?P<title>{_TITLE})\.?\s+(?P<name>{_CAP}(?:\s+{_CAP})?))",
+    rf"|(?:(?<!\w)(?P<title>{_TITLE})\.?[ \t]+(?P<name>{_CAP}(?:[ \t]+{_CAP})?))",
 )
 _HINT = re.compile(r"[0-9@]")
+_TITLES = re.compile(rf"(?<!\w)(?:{_TITLE})")
 #: Given names by gender and script, syllables of surnames by script.
 GIVEN = {
     ("m", "latin"): ("Adrian", "Albert", "Anton", "Arthur", "Bruno", "Daniel", "David", "Edgar", "Emil", "Felix", "Gabriel", "Hugo", "Jonas", "Julian", "Leon", "Lucas", "Marcus", "Martin", "Nathan", "Oliver", "Oscar", "Paul", "Robert", "Samuel", "Simon", "Thomas", "Victor", "Walter"),
@@ -200,12 +201,22 @@ class Entity:
         return out
 
 
+def _spans(text: str) -> Iterator[tuple[int, int]]:
+    """Lines in which an entity may be: no pattern crosses a line feed, and all but names hold a digit or an @."""
+    marks = [m.start() for m in _HINT.finditer(text)]
+    marks += [m.start() for m in _TITLES.finditer(text)] if any(t in text for t in (*MALE, *FEMALE, *NEUTRAL)) else []
+    end = -1
+    for at in sorted(marks):
+        if at >= end:
+            begin, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
+            end = len(text) if end < 0 else end
+            yield begin, end
+
+
 def entities(text: str) -> list[Entity]:
     """Non-overlapping entities of a text, left to right."""
-    if not _HINT.search(text) and not any(t in text for t in (*MALE, *FEMALE, *NEUTRAL)):
-        return []
     out = []
-    for m in _FIND.finditer(text):
+    for m in (m for begin, end in _spans(text) for m in _FIND.finditer(text, begin, end)):
         kind = m.lastgroup
         if kind == "name" or kind == "title":
             title, name = m["title"], m["name"]
