@@ -92,13 +92,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     n = 6 * partitions(spark)
-    ids = scratch.save(base.select(F.coalesce("id", F.lit(-(1 << 63))).alias("key")), "ids")
-    cuts = ids.approxQuantile("key", [i / n for i in range(1, n)], 1 / (4 * n)) if not ids.isEmpty() else []
-    cuts = sorted({int(c) for c in cuts})  # at most n numbers
     key = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
-    firsts = ids.groupBy(_range_of(F.col("key"), cuts).alias("part")).agg(F.min("key").alias("first")).orderBy("part").collect()  # at most n rows
-    before = {r["first"]: firsts[i - 1]["part"] for i, r in enumerate(firsts)}  # the first of all goes to the last range
-    part = _range_of(key, cuts)
+    # the sampled ranges of a range partitioning, of which each task's first id comes here: n numbers at most
+    dealt = scratch.save(base.select(key.alias("key")), "ids").repartitionByRange(n, "key")
+    firsts = sorted(r["first"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("first")).collect())
+    before = {k: i - 1 if i else len(firsts) - 1 for i, k in enumerate(firsts)}  # the first of all goes to the last range
+    part = _range_of(key, firsts[1:])
     rows = base.withColumn("part", part)
     if before:
         pairs = spark.createDataFrame([(int(k), int(v)) for k, v in before.items()], "first long, ghost int")

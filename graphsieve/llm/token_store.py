@@ -3,8 +3,9 @@
 Layout below one folder, all Parquet with binary columns, written by Spark so that
 any store Spark writes to will do:
 
-* ``chunks``: digest (blake2b-128 of the payload), n, payload (little-endian ids,
-  16 bits where the vocabulary allows, else 32).  A chunk is stored once.
+* ``staged/recipe=false``, the chunks: digest (blake2b-128 of the payload), n, payload (little-endian ids,
+  16 bits where the vocabulary allows, else 32).  A chunk is stored once.  The other
+  part of ``staged`` is what the recipes are ordered from.
 * ``recipes``: ordinal, doc_id, start, n_tokens, digests, root.  One row a document
   in ascending doc_id order; ``digests`` lists its chunks, ``root`` is the Merkle
   root over them.
