@@ -200,11 +200,11 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     what does not divide.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options)
-    per = plan.groupBy(F.col("h").alias("_ph"), F.hash(id_col, "size").alias("_ph2")).agg(F.sum("copies").alias("_all"), F.count("*").alias("_rows"))
-    marked = docs.withColumn("_h", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))).withColumn("_h2", F.hash(F.col(id_col), word_count(F.col(text_col))))
+    per = plan.groupBy(F.col("h").alias("__gs_ph"), F.hash(id_col, "size").alias("__gs_ph2")).agg(F.sum("copies").alias("__gs_all"), F.count("*").alias("__gs_rows"))
+    marked = docs.withColumn("__gs_h", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))).withColumn("__gs_h2", F.hash(F.col(id_col), word_count(F.col(text_col))))
     # a merge join deals both sides by the key that the window needs: text moves once
-    joined = marked.join(per.where("_all > 0").hint("merge"), (F.col("_h") == F.col("_ph")) & (F.col("_h2") == F.col("_ph2")))
-    turn = F.row_number().over(Window.partitionBy("_h", "_h2").orderBy(F.lit(1)))
-    n = (F.floor(F.col("_all") / F.col("_rows")) + (F.col("_turn") <= F.col("_all") % F.col("_rows")).cast("long")).cast("int")
-    joined = joined.withColumn("_turn", turn).withColumn("_n", n)
-    return joined.where("_n > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined = marked.join(per.where("__gs_all > 0").hint("merge"), (F.col("__gs_h") == F.col("__gs_ph")) & (F.col("__gs_h2") == F.col("__gs_ph2")))
+    turn = F.row_number().over(Window.partitionBy("__gs_h", "__gs_h2").orderBy(F.lit(1)))
+    n = (F.floor(F.col("__gs_all") / F.col("__gs_rows")) + (F.col("__gs_turn") <= F.col("__gs_all") % F.col("__gs_rows")).cast("long")).cast("int")
+    joined = joined.withColumn("__gs_turn", turn).withColumn("__gs_n", n)
+    return joined.where("__gs_n > 0").withColumn("__gs_i", F.explode(F.sequence(F.lit(1), F.col("__gs_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

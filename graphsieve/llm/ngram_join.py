@@ -402,13 +402,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Documents without words stay.  Of rows with equal ids in one component one stays.
     """
     found = jaccard_components(docs, id_col, text_col, **options)
-    gone = found.where((F.col("component_id") != F.col(id_col)) & F.col("component_id").isNotNull()).select(F.col(id_col).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    twice = found.where(F.col("n_shingles") > 0).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("_twice"))
+    gone = found.where((F.col("component_id") != F.col(id_col)) & F.col("component_id").isNotNull()).select(F.col(id_col).alias("__gs_gone")).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col("__gs_gone"), "left_anti")
+    twice = found.where(F.col("n_shingles") > 0).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__gs_twice"))
     scratch = Scratch(docs.sparkSession, "twice")
     twice = scratch.save(twice, "ids")
     if twice.isEmpty():
         return kept
-    marked = kept.join(twice, F.col(id_col) == F.col("_twice"), "left")
-    several = marked.where(F.col("_twice").isNotNull()).select(*docs.columns).dropDuplicates([id_col])
-    return marked.where(F.col("_twice").isNull()).select(*docs.columns).unionByName(several)
+    marked = kept.join(twice, F.col(id_col) == F.col("__gs_twice"), "left")
+    several = marked.where(F.col("__gs_twice").isNotNull()).select(*docs.columns).dropDuplicates([id_col])
+    return marked.where(F.col("__gs_twice").isNull()).select(*docs.columns).unionByName(several)

@@ -6,7 +6,7 @@ import zlib
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, h string, size string, rank int, part string, _text string, n long, partner string, shard string, label string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, key int, h string, size string, rank int, part string, _text string, n long, partner string, shard string, label string, _h long, _gone long, _all long"
 
 
 def words(text):
@@ -34,11 +34,11 @@ def rows(seed=1, n=120):
     """Some null in every column, repeated ids, repeated rows, columns with clashing names."""
     out = []
     for i, t in enumerate(texts(n, seed)):
-        out.append((i, t, ("en", "fr", None)[i % 3], None if i % 17 == 0 else f"s{'ab' if i % 2 else chr(0xE9)}{i % 4}", len(t), "x", 1, "h", "9", 3, "p", "t", 5, "q", "z", "l"))
-    out.append((5, None, None, None, None, *[None] * 11))
-    out.append((None, "no id here at all", "en", "sab1", None, *[None] * 11))
+        out.append((i, t, ("en", "fr", None)[i % 3], None if i % 17 == 0 else f"s{'ab' if i % 2 else chr(0xE9)}{i % 4}", len(t), "x", 1, "h", "9", 3, "p", "t", 5, "q", "z", "l", 1, 2, 3))
+    out.append((5, None, None, None, None, *[None] * 14))
+    out.append((None, "no id here at all", "en", "sab1", None, *[None] * 14))
     out.append((7, out[7][1], *out[7][2:]))
-    out.append((8, "another text under an id that is taken", "en", "sab1", 1, *[None] * 11))
+    out.append((8, "another text under an id that is taken", "en", "sab1", 1, *[None] * 14))
     return out
 
 

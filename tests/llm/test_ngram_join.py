@@ -117,5 +117,5 @@ def test_components(spark, most):
 def test_empty(spark, empty):
     assert ngram_join.jaccard_components(empty).count() == 0
     assert ngram_join.keep_one(empty).count() == 0
-    blank = frame(spark, [(i, t, *[None] * 14) for i, t in enumerate(("", None, " \n"))])
+    blank = frame(spark, [(i, t, *[None] * 17) for i, t in enumerate(("", None, " \n"))])
     assert {(r["doc_id"], r["component_id"], r["n_links"]) for r in ngram_join.jaccard_components(blank).collect()} == {(0, 0, 0), (1, 1, 0), (2, 2, 0)}

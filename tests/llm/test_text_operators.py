@@ -69,7 +69,7 @@ def test_permutations_are_bijections():
 
 def test_replaces_everything_alike(spark, docs):
     texts = sample()
-    data = [(i, t, *[None] * 14) for i, t in enumerate([*texts, *texts[:20], None, "", "no data"])]
+    data = [(i, t, *[None] * 17) for i, t in enumerate([*texts, *texts[:20], None, "", "no data"])]
     got = {r["doc_id"]: r for r in pii.replace_pii(frame(spark, data), KEY).collect()}
     assert len(got) == len(data)
     whole = {}
@@ -257,8 +257,8 @@ def test_scan_against_all_windows(spark):
             if rng.random() < 0.2:
                 w = w[: len(w) // 2]
             parts += [" ".join(w), " ".join(rng.choice(filler) for _ in range(rng.randrange(0, 60)))]
-        data.append((i, "\n".join(parts), *[None] * 14))
-    data += [(500, None, *[None] * 14), (501, "", *[None] * 14), (None, "Released under the MIT License.%%%", *[None] * 14), (1, "text", *[None] * 14)]
+        data.append((i, "\n".join(parts), *[None] * 17))
+    data += [(500, None, *[None] * 17), (501, "", *[None] * 17), (None, "Released under the MIT License.%%%", *[None] * 17), (1, "text", *[None] * 17)]
     df = frame(spark, data)
     got = Counter((r["doc_id"], r["templates"]) for r in licenses.scan_licenses(df).collect())
     own = Counter()
