@@ -35,7 +35,7 @@ from .components import components, find_roots
 WIDTH = 5
 FLUSH = 2_000_000  # shingles that a task holds before it sends them
 BLOCK = 1_500_000  # shingles of a cell that one block may hold
-MEMBERS = 384  # classes of a cell that one block may hold
+MEMBERS = 192  # classes of a cell that one block may hold
 LOW = np.uint64((1 << 48) - 1)
 _ROWS = "kind int, part int, id long, n long, k1 long, k2 long, keys binary, counts binary, body binary, extra binary"
 _SCHEMA = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("body", pa.binary()), ("extra", pa.binary())])
@@ -382,8 +382,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     about = volume.join(total, "cell").join(classes.select("k1", "w"), "k1").select("sid", "cell", "blocks", "w", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("own"))
     dealt = sets.select("sid", "n", "tokens").join(about, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).otherwise(F.when(F.col("own") < F.col("other"), 1).otherwise(2))
-    grouped = dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid", "n", "w", side.cast("int").alias("side"), "tokens")
-    grouped = grouped.repartition(parts, "cell", "i", "j").sortWithinPartitions("cell", "i", "j", "sid")
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    # the block pairs of a cell go to tasks in turn, from a place that its hash gives
+    place = F.pmod(F.pmod(F.xxhash64("cell"), F.lit(parts)) + i.cast("long") * F.col("blocks") + j, F.lit(parts)).cast("int")
+    grouped = dealt.select("cell", i.alias("i"), j.alias("j"), "sid", "n", "w", side.cast("int").alias("side"), "tokens", place.alias("place"))
+    grouped = grouped.repartitionById(parts, F.col("place")).drop("place").sortWithinPartitions("cell", "i", "j", "sid")
     found = scratch.save(grouped.mapInArrow(lean(_searcher(percent)), "a long, b long, links long"), "links")
     label = components(found.select("a", "b").where("a != b"), scratch, "linked").withColumnsRenamed({"node": "sid"})
     count = found.groupBy(F.col("a").alias("sid")).agg(F.sum("links").alias("links"))
