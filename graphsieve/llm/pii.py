@@ -33,20 +33,29 @@ FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señor
 NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "Doctor")
 _TITLE = "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True))
 _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:[-'’][A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
+_DOMAIN = r"@[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,}"
+#: All that can stand before an @ and its domain; the address begins at the first letter or digit.
+_LOCAL = re.compile(rf"(?<![\w.%+\-])[\w.%+\-]++(?=(?P<domain>{_DOMAIN}))")
+_ALNUM = re.compile(r"[^\W_]")
+_KEY = r"(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[\"']?"
+_NAME = rf"(?P<title>{_TITLE})\.?\s+(?P<name>{_CAP}(?:\s+{_CAP})?)"
+#: All entities but addresses of mail.
 _FIND = re.compile(
-    r"(?P<email>(?<![\w.%+\-])[^\W_][\w.%+\-]*@[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,})"
-    r"|(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
-    r"|(?:(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?(?P<secret>[A-Za-z0-9_\-+/]{12,}))"
+    r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
+    rf"|(?:{_KEY}\s*[=:]\s*[\"']?(?P<secret>(?=[A-Za-z_\-+/]*\d)[A-Za-z0-9_\-+/]{{12,}}))"
     r"|(?P<secret2>\b(?:sk-|ghp_|gho_|AKIA|xox[abp]-|eyJ)[A-Za-z0-9_\-]{12,}|(?<![\w])(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![\w]))"
     r"|(?P<mac>\b[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}\b)"
     rf"|(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<card>(?<![\d.-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d))"
     r"|(?P<phone>(?<![\d.])\+\d{1,3}[ .\-]?\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-/]?\d{2,4}){1,3}(?!\.?\d)|(?<![\d.+])\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}(?!\d)|(?<![\d.+-])\d{3}[.\- ]\d{3}[.\- ]\d{4}(?![\d-]))"
-    rf"|(?:(?<!\w)(?P<title>{_TITLE})\.?[ \t]+(?P<name>{_CAP}(?:[ \t]+{_CAP})?))",
+    rf"|(?:(?<!\w){_NAME})",
 )
 _HINT = re.compile(r"[0-9@]")
+_MAC_HINT = re.compile(r"[:-][A-Fa-f]{2}[:-]")
 _TITLES = re.compile(rf"(?<!\w)(?:{_TITLE})")
+_NAMED = re.compile(_NAME)
+_KEY_END = re.compile(rf"{_KEY}\Z")
 #: Given names by gender and script, syllables of surnames by script.
 GIVEN = {
     ("m", "latin"): ("Adrian", "Albert", "Anton", "Arthur", "Bruno", "Daniel", "David", "Edgar", "Emil", "Felix", "Gabriel", "Hugo", "Jonas", "Julian", "Leon", "Lucas", "Marcus", "Martin", "Nathan", "Oliver", "Oscar", "Paul", "Robert", "Samuel", "Simon", "Thomas", "Victor", "Walter"),
@@ -201,22 +210,75 @@ class Entity:
         return out
 
 
+def _back(text: str, at: int) -> int:
+    while at and text[at - 1].isspace():
+        at -= 1
+    return at
+
+
+def _keyed(text: str, begin: int) -> int:
+    """Where the line of the key begins whose value may be on the line at ``begin``."""
+    at = _back(text, begin)
+    if at and text[at - 1] in "=:":
+        at = _back(text, at - 1)
+    key = _KEY_END.search(text, max(0, at - 12), at)
+    return text.rfind("\n", 0, key.start()) + 1 if key else begin
+
+
 def _spans(text: str) -> Iterator[tuple[int, int]]:
-    """Lines in which an entity may be: no pattern crosses a line feed, and all but names hold a digit or an @."""
-    marks = [m.start() for m in _HINT.finditer(text)]
-    marks += [m.start() for m in _TITLES.finditer(text)] if any(t in text for t in (*MALE, *FEMALE, *NEUTRAL)) else []
-    end = -1
-    for at in sorted(marks):
+    """Lines in which an entity may be: all but names hold a digit, an @ or a MAC address of letters.
+
+    Only names and the values of keys cross line feeds; their lines are one span.
+    """
+    found, end = [], -1
+    for at in sorted(m.start() for hint in (_HINT, _MAC_HINT) for m in hint.finditer(text)):
         if at >= end:
             begin, end = text.rfind("\n", 0, at) + 1, text.find("\n", at)
             end = len(text) if end < 0 else end
-            yield begin, end
+            found.append((_keyed(text, begin), end))
+    if any(t in text for t in (*MALE, *FEMALE, *NEUTRAL)):
+        end = -1
+        for m in _TITLES.finditer(text):
+            if (name := _NAMED.match(text, m.start())) and name.end() > end:
+                end = text.find("\n", name.end())
+                end = len(text) if end < 0 else end
+                found.append((text.rfind("\n", 0, m.start()) + 1, end))
+    begin, end = 0, -1
+    for b, e in sorted(found):
+        if b > end:
+            if end >= 0:
+                yield begin, end
+            begin, end = b, e
+        end = max(end, e)
+    if end >= 0:
+        yield begin, end
+
+
+def _matches(text: str, begin: int, end: int) -> Iterator[tuple[int, int, re.Match | None]]:
+    """Start, end and match of what is found left to right; for an address of mail, which comes first, no match."""
+    at, m = begin, _FIND.search(text, begin, end)
+    for local in _LOCAL.finditer(text, begin, end) if text.find("@", begin, end) >= 0 else ():
+        while first := _ALNUM.search(text, max(at, local.start()), local.end()):
+            if m and m.start() < first.start():
+                yield *m.span(), m
+                at = m.end()
+            else:
+                at = local.end("domain")
+                yield first.start(), at, None
+            if m and m.start() < at:
+                m = _FIND.search(text, at, end)
+    while m:
+        yield *m.span(), m
+        m = _FIND.search(text, m.end(), end)
 
 
 def entities(text: str) -> list[Entity]:
     """Non-overlapping entities of a text, left to right."""
     out = []
-    for m in (m for begin, end in _spans(text) for m in _FIND.finditer(text, begin, end)):
+    for start, stop, m in (x for begin, end in _spans(text) for x in _matches(text, begin, end)):
+        if m is None:
+            out.append(Entity(start, stop, "email", text[start:stop].lower(), text[start:stop]))
+            continue
         kind = m.lastgroup
         if kind == "name" or kind == "title":
             title, name = m["title"], m["name"]
@@ -227,7 +289,7 @@ def entities(text: str) -> list[Entity]:
                     out.append(Entity(at, at + len(part), given if k == 0 and len(parts) > 1 else "surname", part.lower(), part))
                 at += len(part)
             continue
-        kind = next(g for g in ("email", "iban", "secret", "secret2", "mac", "ip", "ssn", "card", "phone") if m[g] is not None)
+        kind = next(g for g in ("iban", "secret", "secret2", "mac", "ip", "ssn", "card", "phone") if m[g] is not None)
         s, e = m.span(kind)
         found = m[kind]
         kind = "secret" if kind == "secret2" else kind
@@ -245,7 +307,7 @@ def entities(text: str) -> list[Entity]:
             canon = f"{code}|{digits[len(code):]}"
         elif kind == "mac":
             canon = re.sub(r"[:-]", "", found).lower()
-        elif kind == "email" or kind == "secret" and re.fullmatch(r"[0-9A-F]+", found):
+        elif kind == "secret" and re.fullmatch(r"[0-9A-F]+", found):
             canon = found.lower()
         elif kind == "secret":
             canon = found

@@ -61,6 +61,27 @@ def test_clean_texts_stay():
         assert pii.replace(t, KEY)[0] == t
 
 
+def test_addresses_after_signs_and_entities_across_lines():
+    for before in ("-", "_", "...", "+", "%", "token=abcdefghijkl1\u00e9"):
+        new, found = pii.replace(f"{before}john@x.com", KEY)
+        assert found[-1].kind == "email" and "john" not in new and new.startswith(before[:1]), new
+    assert [x.written for x in pii.entities("a@b.com1x@y.com")] == ["a@b.com", "1x@y.com"]
+    for text, gone in {
+        "dear Herr\nMueller,": ["Mueller"],
+        "Mrs.\n\n Anna Smith": ["Anna", "Smith"],
+        "Mrs. Anna\nSmith": ["Anna", "Smith"],
+        "Mr\u00a0John Smith": ["John", "Smith"],
+        "password:\n abcdefghijkl123": ["abcdefghijkl123"],
+        "the password\n\n= 'abcdefghijkl123'": ["abcdefghijkl123"],
+        "api_key\n:\nabcdefghijkl123": ["abcdefghijkl123"],
+        "password: johnathansmith@x.com": ["johnathansmith@x.com"],
+        "aa:bb:cc:dd:ee:ff\n1": ["aa:bb:cc:dd:ee:ff"],
+    }.items():
+        new, found = pii.replace(f"first\n{text}\nlast", KEY)
+        assert [x.written for x in found] == gone and not any(g in new for g in gone), new
+        assert new.count("\n") == text.count("\n") + 2
+
+
 def test_permutations_are_bijections():
     assert len({pii.permute(i, 10, 10, KEY, "t") for i in range(100)}) == 100
     assert len({pii.permute_text(f"{i:03d}", "0123456789", KEY, "t") for i in range(1000)}) == 1000
