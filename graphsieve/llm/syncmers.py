@@ -28,7 +28,7 @@ def _hashes(text: Column) -> Column:
 def anchors(text: Column, k: int = K, s: int = S) -> Column:
     """array<struct<at, hash>> of the closed syncmers: place of the first word, from 0, and hash.
 
-    A text of fewer than k words has one anchor, all of its words.
+    A text in which no k-mer is closed, or of fewer than k words, has one anchor, all of its words.
     """
     span = k - s + 1
     symbols = _hashes(text)
@@ -47,8 +47,12 @@ def anchors(text: Column, k: int = K, s: int = S) -> Column:
         return F.array(F.struct(F.lit(0).alias("at"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: F.xxhash64(a, x)).alias("hash")))
 
     def both(h: Column) -> Column:
+        def some(found: Column) -> Column:
+            return F.when(F.size(found) > 0, found).otherwise(whole(h))
+
         inner = F.transform(F.sequence(F.lit(0), F.size(h) - s), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(s)]))
-        return F.when(F.size(h) >= k, F.element_at(F.transform(F.array(inner), lambda m: select(h, m)), 1)).otherwise(whole(h))
+        found = F.transform(F.array(inner), lambda m: select(h, m))
+        return F.when(F.size(h) >= k, F.element_at(F.transform(found, some), 1)).otherwise(whole(h))
 
     return F.element_at(F.transform(F.array(symbols), both), 1)
 

@@ -169,6 +169,19 @@ def test_edited_fingerprints(spark, docs):
     assert got == want
 
 
+def test_texts_without_closed_syncmers_differ(spark):
+    rng = random.Random(2)
+    data = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in (6, 7) for _ in range(60)]
+    none = [t for t in data if not plain_sketch(t)]
+    assert len(none) > 20 and len(data) - len(none) > 20
+    df = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    got = {r["text"]: r["fp"] for r in df.select("text", syncmers.sketch(syncmers.anchors(df["text"])).alias("fp")).collect()}
+    assert all(len(got[t]) == 1 for t in none) and len({got[t][0] for t in none}) == len(none)
+    assert all(got[t] == plain_sketch(t) for t in data if t not in none)
+    rows_ = syncmers.edited_fingerprints(spark.createDataFrame(list(enumerate(none)), "doc_id long, text string")).collect()
+    assert len(rows_) == len(none) and all(r["fingerprint"] and r["near_next"] == 0.0 and r["near_edited"] < 1.0 for r in rows_)
+
+
 def test_anchors_match_by_position(spark):
     rng = random.Random(1)
     words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
