@@ -29,9 +29,9 @@ from .common import Scratch, lean, running, ship
 
 CHROME, OPEN, MAIN = 0, 1, 2
 
-RAW = "script|style|noscript|template|iframe|svg|math|canvas|object|select|textarea|title|head"
+RAW = "script|style|noscript|template|iframe|svg|canvas|object|select|textarea|title"
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
+    rf"<!--.*?(?:-->|\Z)|<(?!svg\b[^>]*/>)({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>",
     re.S | re.I,
 )
@@ -43,15 +43,31 @@ CHROME_NAMES = frozenset("ad ads adsense advert adverts advertisement advertisin
 SECTIONS = frozenset("article main section footer header nav aside body".split())
 
 
-def _chrome(tag: str, attributes: str, inside_main: bool) -> bool:
+#: Words that say whose or what kind of box, and words that turn a name into a property of its element.
+PARTS = frozenset("post entry article page site story blog user reader wp area list section box wrapper container block bar buttons links icons form posts articles stories".split())
+STATES = frozenset("no not has with without hide".split())
+
+
+def _chrome(tag: str, attributes: str, inside_main: bool, strict: bool = False) -> bool:
+    """Whether an element is chrome by tag or name; html, body, main and an outermost article never are by name.
+
+    Outside main elements one word of a name decides.  Inside, and with ``strict``, all words of it
+    but ``PARTS`` have to be names of chrome, so ``post-comments`` is chrome and ``share-price`` is not.
+    """
     if tag in CHROME_TAGS and not (tag == "header" and inside_main):
         return True
-    if tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    if tag in ("html", "body", "main") or tag == "article" and not inside_main:
         return False
     for m in _NAMED.finditer(attributes):
-        names = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", m[2] or m[3] or m[4] or "").lower()))
-        if names & CHROME_NAMES and not (inside_main and names & CHROME_NAMES <= {"header", "banner"}):
-            return True
+        if inside_main and m[1].lower() == "id" and re.fullmatch("h[1-6]", tag):
+            continue  # headings are named after their text
+        for name in (m[2] or m[3] or m[4] or "").split():
+            words = [w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+            hit = {w for w in words if w in CHROME_NAMES}
+            if not hit or words[0] in STATES or inside_main and hit <= {"header", "banner"}:
+                continue
+            if not (inside_main or strict) or all(w in hit or w in PARTS for w in words):
+                return True
     return False
 
 
@@ -60,7 +76,7 @@ def lines_of(page: str) -> list[tuple[int, str]]:
     tokens = list(_TOKEN.finditer(page))
     out: list[tuple[int, str]] = []
     text: list[str] = []
-    main, skip_until, skip_tag, depth = [], -1, "", 0
+    main, skip_until, skip_tag = [], -1, ""
     at = 0
 
     def end_block() -> None:
@@ -90,8 +106,16 @@ def lines_of(page: str) -> list[tuple[int, str]]:
                 if k == skip_until:
                     skip_tag, skip_until = "", -1
                 continue
+            if skip_tag == "head":  # ends at its end tag or, without one, where the body or a block begins
+                if closing and tag == "head":
+                    end_block()
+                    skip_tag = ""
+                    continue
+                if closing or not block:
+                    continue
+                skip_tag = ""
             # an element that is never closed ends where the next section begins
-            if not closing and tag in SECTIONS and tag != skip_tag:
+            elif not closing and tag in SECTIONS and tag != skip_tag:
                 skip_tag = ""
             else:
                 continue
@@ -103,17 +127,26 @@ def lines_of(page: str) -> list[tuple[int, str]]:
         attributes = m[4] or m[7] or ""
         if tag in VOID or attributes.endswith("/"):
             continue
+        if tag == "head":
+            end_block()
+            skip_tag, skip_until = tag, -1
+            continue
         if _chrome(tag, attributes, bool(main)):
-            if not block:
-                end_block()
-            depth, skip_tag, skip_until = 1, tag, -1
+            depth, until, holds = 1, -1, False
             for j in range(k + 1, len(tokens)):
                 t = tokens[j]
-                if (t[3] or t[6] or "").lower() == tag:
+                name = (t[3] or t[6] or "").lower()
+                holds = holds or name in ("article", "main") and not (t[2] or t[5])
+                if name == tag:
                     depth += -1 if (t[2] or t[5]) else 1
                     if depth == 0:
-                        skip_until = j
+                        until = j
                         break
+            # a box around an article is chrome only if its whole name says so
+            if main or not holds or _chrome(tag, attributes, False, True):
+                if not block:
+                    end_block()
+                skip_tag, skip_until = tag, until
             continue
         if tag in ("article", "main"):
             main.append(tag)

@@ -234,6 +234,22 @@ def test_lines_of():
     assert html_main.main_text(html_main.lines_of("<p>1 < 2</p>"), None) == "1 < 2"
 
 
+def test_containers_and_articles_are_no_chrome():
+    text = lambda p: html_main.main_text(html_main.lines_of(p), None)
+    for body in ("<body class='single comments-open'>", "<body class='has-sidebar search'>", "<body><div class='site no-sidebar'>", "<body><div id='content-sidebar'>"):
+        for article in ("<article class='post no-comments'>", "<article id='share-12'>", "<main class='comments-closed'>"):
+            assert text(f"<html>{body}{article}<p>kept</p>") == "kept", (body, article)
+    inner = "<section id='related-work'><p>a</p></section><h2 id='search-trees'>b</h2><h2 id='search'>c</h2><div class='share-price'>d</div><p>e <math><mi>x</mi></math> f</p>"
+    gone = "<div class='comments-area'>1</div><div class='post-comments'>2</div><div class='related-posts'>3</div><div id='sidebar'>4</div><div class='box social-share'>5</div><article class='comment'>6</article>"
+    assert text(f"<article>{inner}{gone}<p>g</p></article>") == "a b c d e x f g"
+    assert text("<div class='comments-area'><article class='x'>said</article></div><article>kept</article>") == "kept"
+    assert text("<div class='has-sidebar'><p>kept</p><div class='left-sidebar'>gone</div></div>") == "kept"
+    assert text("<html><head><title>t</title><meta charset=utf-8><body><p>kept</p>") == "kept"
+    assert text("<html><head><title>t</title><link href=x><p>kept</p>") == "kept"
+    assert text("<html><head>gone</head>kept") == "kept"
+    assert text("<article><svg width=1 /><p>kept</p></article>") == "kept"
+
+
 def test_extract(spark):
     shell = "<div>Site name</div><div>Latest news</div>{}<div>Contact us</div>"
     data = [
