@@ -28,8 +28,9 @@ PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 def enumerate_patterns(histogram: np.ndarray, capacity: int, most: int = 4000) -> list[tuple[int, ...]]:
     """Patterns of one to four lengths that fill a sequence as far as the histogram can.
 
-    For each length: itself and its best partner; for frequent lengths also pairs and
-    triples of the fullest fit.
+    For each length: itself and its best partner; with frequent lengths also pairs and
+    triples of the fullest fit.  Lengths are given patterns in turn, one a round, until
+    a round ends with ``most`` patterns or more, so that each length leads some.
     """
     present = np.flatnonzero(histogram[: capacity + 1])
     present = present[present > 0]
@@ -43,21 +44,26 @@ def enumerate_patterns(histogram: np.ndarray, capacity: int, most: int = 4000) -
         return int(present[i]) if i >= 0 else 0
 
     frequent = present[np.argsort(-histogram[present], kind="stable")][:48]
-    for a in present[::-1].tolist():
+
+    def led_by(a: int) -> Iterator[tuple[int, ...]]:
         p, room = [a], capacity - a
         while room and len(p) < 4 and (b := best(room, a)):
             p.append(b)
             room -= b
-        out[tuple(p)] = None
+        yield tuple(p)
         for b in frequent.tolist():
             if a + b > capacity or b > a:
                 continue
             c = best(capacity - a - b, b)
-            out[tuple(x for x in (a, b, c) if x)] = None
+            yield tuple(x for x in (a, b, c) if x)
             if c and (d := best(capacity - a - b - c, c)):
-                out[(a, b, c, d)] = None
-        if len(out) >= most:
-            break
+                yield (a, b, c, d)
+
+    leads = [led_by(a) for a in present[::-1].tolist()]
+    while leads and len(out) < most:
+        made = [(lead, next(lead, None)) for lead in leads]
+        out.update((p, None) for _, p in made if p)
+        leads = [lead for lead, p in made if p]
     return list(out)
 
 

@@ -130,3 +130,16 @@ def test_plans_hold_the_histogram():
             alone = sum(n for _, n in packing.residual(h, capacity))
             assert sum(n for _, n in packing.plan(h, capacity)) <= alone * 1.03 + 2
     assert packing.plan(np.zeros(9, np.int64), 8) == []
+
+
+def test_each_length_leads_patterns():
+    rng = np.random.default_rng(4)
+    h = np.zeros(2049, np.int64)
+    h[1:] = rng.integers(1, 40, 2048)
+    patterns = packing.enumerate_patterns(h, 2048)
+    assert {p[0] for p in patterns} == set(range(1, 2049)) and len(patterns) < 4000 + 2048
+    plan, left = packing.plan(h), h.copy()
+    for p, n in plan:
+        assert sum(p) <= 2048
+        np.subtract.at(left, list(p), n)
+    assert not left.any()
