@@ -2,15 +2,21 @@
 
 A page becomes lines, one for each block of text, in zones: *chrome* (menus, headers,
 footers, sidebars, adverts, forms and the like, by element and by class, id or role),
-*main* (inside ``article`` or ``main``) and *open* (neither).  Within each host pages
-are ordered by URL path; a page's partner is the neighbour whose path shares more with
-its own.  The longest common subsequence of both pages' lines is what their template
-prints, and the shared lines are deleted.
-
-Lines in a main element are the author's own mark of the article, and two pages of a
-host may well quote the same passage there, so differencing deletes lines outside it.
-A page with a main element consists of its main lines; other pages consist of the open
-lines that the partner does not have.
+*main* (inside ``article`` or ``main``) and *open* (neither).  Within each host the
+distinct pages are ordered by URL path (equal lines are one page, at its smallest
+path), so no page is ever held against its own copy.  A page's neighbours are the two
+before and the two after it, the one first whose path shares more with its own.
+
+The longest common subsequence of the lines of a page and its partner is what their
+template prints, and the shared lines are deleted.  The partner is the first neighbour
+that shares less than ``COPY`` of the page's characters outside chrome (a near copy of
+the text says nothing about the template); without such a one, that which shares least.
+A line in a main element is the author's own mark of the article, and two pages of a
+host may well quote the same passage there: it goes only if all of two or more neighbours
+have it in their main elements, of those that share less than half of the article.
+
+What is left and not chrome by its markup is the text: of a page with a main element
+the lines in it, of other pages the open ones.
 """
 
 from __future__ import annotations
@@ -21,13 +27,18 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean, running, ship
+from .common import Scratch, lean, partitions, running, ship
 
 CHROME, OPEN, MAIN = 0, 1, 2
+COPY = 0.8  # of the characters outside chrome: a neighbour that shares as much is a near copy
+QUOTED = 0.5  # of an article's characters: as above, for what is template inside articles
+BLOCK = 2048  # ranked pages whose neighbours one run of rows holds
+HOT_KEYS = 4096  # at most as many page contents are dealt out over several tasks
 
 RAW = "script|style|noscript|template|iframe|svg|canvas|object|select|textarea|title"
 _TOKEN = re.compile(
@@ -71,9 +82,29 @@ def _chrome(tag: str, attributes: str, inside_main: bool, strict: bool = False)
     return False
 
 
+def _ends(tokens: list[re.Match]) -> tuple[dict[int, int], list[int]]:
+    """The end tag of each start tag that has one, and how many main elements begin before each token."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    mains = [0]
+    for k, m in enumerate(tokens):
+        tag = (m[3] or m[6] or "").lower()
+        begins = 0
+        if tag and tag not in VOID:
+            if m[2] or m[5]:
+                if opened.get(tag):
+                    ends[opened[tag].pop()] = k
+            elif not (m[4] or m[7] or "").endswith("/"):
+                opened.setdefault(tag, []).append(k)
+                begins = tag in ("article", "main")
+        mains.append(mains[-1] + begins)
+    return ends, mains
+
+
 def lines_of(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block in page order, without markup; white space is single, references are decoded."""
     tokens = list(_TOKEN.finditer(page))
+    ends, mains = _ends(tokens)
     out: list[tuple[int, str]] = []
     text: list[str] = []
     main, skip_until, skip_tag = [], -1, ""
@@ -132,16 +163,8 @@ def lines_of(page: str) -> list[tuple[int, str]]:
             skip_tag, skip_until = tag, -1
             continue
         if _chrome(tag, attributes, bool(main)):
-            depth, until, holds = 1, -1, False
-            for j in range(k + 1, len(tokens)):
-                t = tokens[j]
-                name = (t[3] or t[6] or "").lower()
-                holds = holds or name in ("article", "main") and not (t[2] or t[5])
-                if name == tag:
-                    depth += -1 if (t[2] or t[5]) else 1
-                    if depth == 0:
-                        until = j
-                        break
+            until = ends.get(k, -1)
+            holds = mains[until if until >= 0 else len(tokens)] > mains[k + 1]
             # a box around an article is chrome only if its whole name says so
             if main or not holds or _chrome(tag, attributes, False, True):
                 if not block:
@@ -213,13 +236,78 @@ def common_lines(a: list, b: list) -> list[bool]:
     return out
 
 
-def main_text(lines: list[tuple[int, str]], partner: list[int] | None) -> str:
-    """The main lines; without any, the open lines that the partner's page does not share."""
-    own = [t for z, t in lines if z == MAIN]
-    if own:
-        return " ".join(own)
-    shared = common_lines([line_hash(t) for _, t in lines], partner) if partner else [False] * len(lines)
-    return " ".join(t for (z, t), s in zip(lines, shared) if z == OPEN and not s)
+class Page:
+    """What differencing needs of a page: a hash, a zone and a length for each line."""
+
+    __slots__ = ("hashes", "zones", "sizes", "path", "tried")
+
+    def __init__(self, hashes: np.ndarray, zones: np.ndarray, sizes: np.ndarray, path: str = ""):
+        self.hashes, self.zones, self.sizes, self.path = hashes.tolist(), zones, sizes, path
+        self.tried: dict[int, np.ndarray] = {}
+
+    @classmethod
+    def of(cls, lines: list[tuple[int, str]], path: str = "") -> Page:
+        return cls(np.array([line_hash(t) for _, t in lines], np.int64), np.array([z for z, _ in lines], np.int8), np.array([len(t) for _, t in lines], np.int64), path)
+
+    def pack(self) -> bytes:
+        return np.array(self.hashes, "<i8").tobytes() + self.sizes.astype("<i8").tobytes() + self.zones.astype("i1").tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes, path: str) -> Page:
+        n = len(raw) // 17
+        return cls(np.frombuffer(raw, "<i8", n), np.frombuffer(raw, "i1", n, 16 * n), np.frombuffer(raw, "<i8", n, 8 * n), path)
+
+    def candidates(self) -> np.ndarray:
+        """Lines that markup leaves: those in main elements or, without any, the open ones."""
+        main = self.zones == MAIN
+        return main if main.any() else self.zones == OPEN
+
+    def keys(self) -> list[tuple[int, bool]]:
+        """A line of an article equals none outside."""
+        return list(zip(self.hashes, (self.zones == MAIN).tolist()))
+
+    def shared(self, other: Page) -> np.ndarray:
+        """Which lines of this page the other one has too."""
+        if id(other) not in self.tried:
+            self.tried[id(other)] = np.array(common_lines(self.keys(), other.keys()), bool)
+        return self.tried[id(other)]
+
+    def share(self, other: Page, among: np.ndarray) -> float:
+        total = int(self.sizes[among].sum())
+        return int(self.sizes[among & self.shared(other)].sum()) / total if total else 0.0
+
+
+def in_common(a: str, b: str) -> int:
+    """Characters that two paths begin with alike."""
+    n = min(len(a), len(b))
+    return next((i for i in range(n) if a[i] != b[i]), n)
+
+
+def difference(page: Page, neighbours: list[tuple[int, Page]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lines that are shared with the partner, and lines that stay; neighbours have their distance in the order, negative before the page."""
+    n = len(page.hashes)
+    if not neighbours or not n:
+        return np.zeros(n, bool), np.ones(n, bool)
+    near = [p for _, p in sorted(neighbours, key=lambda x: (-in_common(page.path, x[1].path), abs(x[0]), x[0]))]
+    text = page.zones != CHROME
+    partner = next((p for p in near if page.share(p, text) < COPY), None)
+    if partner is None:
+        partner = min(near, key=lambda p: page.share(p, text))
+    shared = page.shared(partner)
+    main = page.zones == MAIN
+    gone = shared & ~main
+    if (shared & main).any():
+        others = [page.shared(p) for p in near if page.share(p, main) < QUOTED]
+        if len(others) > 1:
+            gone |= main & np.logical_and.reduce(others)
+    return shared, ~gone
+
+
+def main_text(lines: list[tuple[int, str]], neighbours: list[tuple[int, Page]] | None = None, path: str = "") -> str:
+    """The text of one page, given its lines and its neighbours."""
+    page = Page.of(lines, path)
+    _, stays = difference(page, neighbours or [])
+    return " ".join(lines[i][1] for i in np.flatnonzero(page.candidates() & stays).tolist())
 
 
 def line_hash(text: str) -> int:
@@ -236,55 +324,98 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host, re.sub(r"(?:/|\.html?)+$", "", u.path)
 
 
+def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page once: where it is, what it is (``page``, equal for equal lines of a host) and its candidate lines."""
+    for b in batches:
+        out: list[list] = [[] for _ in range(5)]
+        for url, html_text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            host, path = host_and_path(url)
+            lines = lines_of(html_text or "")
+            page = Page.of(lines)
+            packed = page.pack()
+            name = blake2b(host.encode("utf-8", "replace") + b"\0" + packed, digest_size=16).digest()
+            texts = [lines[i][1] for i in np.flatnonzero(page.candidates()).tolist()]
+            for column, value in zip(out, (host, path, name, packed, texts)):
+                column.append(value)
+        types = (pa.string(), pa.string(), pa.binary(), pa.binary(), pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, t) for v, t in zip(out, types))], ["id", "url", "host", "path", "page", "lines", "texts"])
+
+
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by block and rank: each page against the two before and the two after it, five pages held at a time."""
+    held: list[tuple] = []  # the last five rows of the block
+    out: list[tuple] = []
+
+    def settle(at: int) -> None:
+        name, host, home, block, _, page = held[at]
+        if home != block:
+            return
+        near = [(i - at, held[i][5]) for i in range(max(0, at - 2), min(len(held), at + 3)) if i != at and held[i][1] == host]
+        shared, stays = difference(page, near)
+        keep = stays[page.candidates()]
+        page.tried.clear()
+        if shared.any():
+            out.append((name, int(shared.sum()), None if keep.all() else keep.tolist()))
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.list_(pa.bool_())))], ["page", "n_shared", "keep"])
+        out.clear()
+
+    def end() -> None:
+        # the last two pages of a block have fewer after them
+        for at in range(max(0, len(held) - 2), len(held)):
+            settle(at)
+        held.clear()
+
+    for b in batches:
+        for row in zip(*(b.column(k).to_pylist() for k in range(7))):
+            name, host, path, lines, _, home, block = row
+            if held and held[-1][3] != block:
+                end()
+            held.append((name, host, home, block, path, Page.unpack(lines, path)))
+            if len(held) >= 3:
+                settle(len(held) - 3)
+            if len(held) > 4:
+                held.pop(0)
+        yield from flush()
+    end()
+    yield from flush()
+
+
 def extract_main(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id, url, text, n_chars for each row of ``pages``.
+    """id, url, text, n_chars, n_lines, n_shared for each row of ``pages``.
+
+    n_lines: lines that markup leaves, before differencing; n_shared: lines of the page,
+    chrome too, that its partner has.
 
     Null or empty html gives an empty text; a null or broken URL is a host of its own
-    with no path.  Rows with equal ids are pages of their own.  A host's only page has no
-    partner, so nothing of it is shared.  Broken markup is read as far as it goes.
-    Empty tables give no rows; other columns are not read.
+    with no path.  Rows with equal ids are pages of their own; repeated pages (equal lines
+    on one host, under any URL) are one page to their neighbours and have equal texts.  A
+    host's only page has no partner, so nothing of it is shared.  Pages with equal paths
+    are ordered by their contents.  Broken markup is read as far as it goes, in time
+    linear in the page.  Empty tables give no rows; other columns are not read.
     """
     spark = pages.sparkSession
     ship(spark)
     scratch = Scratch(spark, "pages")
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     id_type = base.schema["id"].dataType.simpleString()
-    key = F.xxhash64("id", "url", "html")
-
-    def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hosts, paths, needs, hashes = [], [], [], []
-            for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                host, path = host_and_path(url)
-                lines = lines_of(page or "")
-                hosts.append(host)
-                paths.append(path)
-                needs.append(not any(z == MAIN for z, _ in lines) and any(z == OPEN for z, _ in lines))
-                hashes.append([line_hash(t) for _, t in lines])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(needs, pa.bool_()), pa.array(hashes, pa.list_(pa.int64()))], ["key", "host", "path", "need", "lines"])
-
-    seen = scratch.save(base.select(key.alias("key"), "url", "html").mapInArrow(lean(survey), "key long, host string, path string, need boolean, lines array<bigint>").withColumn("one", F.lit(1).cast("long")), "survey")
-    partners = None
-    if not seen.where("need").isEmpty():
-        order = running(seen.select("host", "path", "key", "need", "one"), scratch, "order", ["host", "path", "key"], {"rank": "one"})
-        order = scratch.save(order.drop("one"), "ranked")
-        near = []
-        for step in (-1, 1):
-            other = order.select(F.col("host").alias("host2"), F.col("path").alias("path2"), F.col("key").alias("key2"), (F.col("rank") - step).alias("rank"))
-            near.append(order.where("need").join(other, "rank").where("host = host2").select("key", "path", "path2", "key2", F.lit(step).alias("step")))
-        alike = F.expr("size(filter(sequence(1, greatest(1, least(length(path), length(path2)))), i -> left(path, i) = left(path2, i)))")
-        best = near[0].unionByName(near[1]).groupBy("key").agg(F.max_by(F.struct("key2"), F.struct(alike.alias("n"), (-F.col("step")).alias("s"))).alias("b")).select("key", F.col("b.key2").alias("key2"))
-        lists = seen.groupBy(F.col("key").alias("key2")).agg(F.first("lines").alias("partner"))
-        partners = scratch.save(best.join(lists, "key2").select("key", "partner"), "partners")
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [main_text(lines_of(p or ""), q) for p, q in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
-
-    if partners is None:
-        rows = base.withColumn("partner", F.lit(None).cast("array<bigint>"))
-    else:
-        rows = base.withColumn("key", key).join(partners, "key", "left").select("id", "url", "html", "partner")
-    out = rows.mapInArrow(lean(extract), f"id {id_type}, url string, text string, n_chars long")
-    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", "n_chars")
+    seen = scratch.save(base.mapInArrow(lean(_survey), f"id {id_type}, url string, host string, path string, page binary, lines binary, texts array<string>"), "survey")
+    distinct = seen.groupBy("page").agg(F.first("host").alias("host"), F.min("path").alias("path"), F.first("lines").alias("lines"), F.count("*").alias("copies"))
+    distinct = scratch.save(distinct.withColumn("one", F.lit(1).cast("long")), "distinct")
+    ranked = running(distinct.select("host", "path", "page", "lines", "one"), scratch, "ranked", ["host", "path", "page"], {"rank": "one"})
+    # a block's first and last pages have neighbours in the blocks beside it: those go there too
+    block = F.explode(F.array_distinct(F.transform(F.array(F.col("rank") - 2, F.col("rank"), F.col("rank") + 2), lambda r: F.floor(r / BLOCK))))
+    dealt = ranked.select("page", "host", "path", "lines", "rank", F.floor(F.col("rank") / BLOCK).alias("home"), block.alias("block")).where("block >= 0")
+    dealt = dealt.repartition(partitions(spark), "block").sortWithinPartitions("block", "rank")
+    found = scratch.save(dealt.mapInArrow(lean(_align), "page binary, n_shared long, keep array<boolean>"), "found")
+    # contents with so many copies that one task would hold too many: HOT_KEYS of them at most
+    total = distinct.agg(F.sum("copies")).first()[0] or 0
+    bound = max(BLOCK, -(-total // HOT_KEYS))
+    hot = distinct.where(F.col("copies") > bound).select("page", F.ceil(F.col("copies") / bound).alias("parts"))
+    rows = seen.join(F.broadcast(hot), "page", "left").withColumn("part", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("parts")), F.lit(0)))
+    found = found.join(F.broadcast(hot), "page", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("parts"), F.lit(1)) - 1)))
+    joined = rows.select("id", "url", "texts", "page", "part").join(found.select("page", "part", "n_shared", "keep"), ["page", "part"], "left")
+    kept = F.when(F.col("keep").isNull(), F.col("texts")).otherwise(F.filter("texts", lambda x, i: F.get(F.col("keep"), i)))
+    out = joined.select(F.col("id").alias(id_col), F.col("url").alias(url_col), F.array_join(kept, " ").alias("text"), F.size("texts").cast("long").alias("n_lines"), F.coalesce("n_shared", F.lit(0)).cast("long").alias("n_shared"))
+    return out.select(id_col, url_col, "text", F.char_length("text").cast("long").alias("n_chars"), "n_lines", "n_shared")

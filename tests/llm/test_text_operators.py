@@ -1,9 +1,11 @@
 """Surrogates, syncmers, page differencing and license scans against plain versions."""
 
 import hashlib
+import os
 import random
 import re
 import struct
+import time
 from collections import Counter
 
 import pytest
@@ -227,15 +229,15 @@ def page(body):
 def test_lines_of():
     p = page("<nav><ul><li><a>Menu</a></li></ul></nav><!-- c <p>x</p> --><div class='ad'>Buy</div><article><header><h1>A &amp; B&nbsp; c</h1></header><p>one <b>t</b>wo<br>three<p>four</p><aside>side</aside><form>f</form><div class=\"post-comments\">said</div></article><footer>&copy;</footer>")
     assert [t for z, t in html_main.lines_of(p) if z == html_main.MAIN] == ["A & B c", "one two three", "four"]
-    assert html_main.main_text(html_main.lines_of(p), None) == "A & B c one two three four"
+    assert html_main.main_text(html_main.lines_of(p)) == "A & B c one two three four"
     for broken in ("", "<", "<p", "<p>a<", "<nav>m<article><p>kept", "<p a='x>y", "&#x41;&bogus;", "<script>never closed", "a<b", "<![CDATA[x]]>y", "</p></div>z"):
         html_main.lines_of(broken)
-    assert html_main.main_text(html_main.lines_of("<nav>m<article><p>kept"), None) == "kept"
-    assert html_main.main_text(html_main.lines_of("<p>1 < 2</p>"), None) == "1 < 2"
+    assert html_main.main_text(html_main.lines_of("<nav>m<article><p>kept")) == "kept"
+    assert html_main.main_text(html_main.lines_of("<p>1 < 2</p>")) == "1 < 2"
 
 
 def test_containers_and_articles_are_no_chrome():
-    text = lambda p: html_main.main_text(html_main.lines_of(p), None)
+    text = lambda p: html_main.main_text(html_main.lines_of(p))
     for body in ("<body class='single comments-open'>", "<body class='has-sidebar search'>", "<body><div class='site no-sidebar'>", "<body><div id='content-sidebar'>"):
         for article in ("<article class='post no-comments'>", "<article id='share-12'>", "<main class='comments-closed'>"):
             assert text(f"<html>{body}{article}<p>kept</p>") == "kept", (body, article)
@@ -272,6 +274,114 @@ def test_extract(spark):
     assert html_main.extract_main(df.limit(0)).count() == 0
 
 
+def plain_pages(data):
+    """Texts by differencing, said plainly: all pages of a host at once, longest common subsequences by a full table."""
+    hosts = {}
+    for k, (_, url, markup) in enumerate(data):
+        host, path = html_main.host_and_path(url)
+        hosts.setdefault(host, {}).setdefault(tuple(html_main.lines_of(markup or "")), []).append((path, k))
+    out = [None] * len(data)
+
+    def marks(a, b):
+        a, b = ([(z == html_main.MAIN, t) for z, t in x] for x in (a, b))
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        i, j, hit = len(a), len(b), set()
+        while i and j:
+            if t[i][j] == t[i - 1][j]:
+                i -= 1
+            elif t[i][j] == t[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                hit.add(i)
+        return hit
+
+    def weight(lines, zones, among=None):
+        return sum(len(t) for i, (z, t) in enumerate(lines) if z in zones and (among is None or i in among))
+
+    for pages in hosts.values():
+        order = sorted((min(where)[0], html_main.Page.of(list(lines)).pack(), lines) for lines, where in pages.items())
+        paths = [p for p, _, _ in order]
+        assert len(set(paths)) == len(paths), "ties are broken by a hash that this version does not know"
+        for k, (path, _, lines) in enumerate(order):
+            near = [(-len(os.path.commonprefix([path, paths[i]])), abs(i - k), i) for i in range(max(0, k - 2), min(len(order), k + 3)) if i != k]
+            near = [(marks(lines, order[i][2])) for _, _, i in sorted(near)]
+            whole, article = weight(lines, (1, 2)), weight(lines, (2,))
+            gone = set()
+            if near:
+                share = [weight(lines, (1, 2), m) / whole if whole else 0 for m in near]
+                partner = next((m for m, x in zip(near, share) if x < 0.8), near[share.index(min(share))])
+                gone = {i for i in partner if lines[i][0] != html_main.MAIN}
+                others = [m for m in near if not article or weight(lines, (2,), m) / article < 0.5]
+                if len(others) > 1 and any(lines[i][0] == html_main.MAIN for i in partner):
+                    gone |= {i for i in set.intersection(*others) if lines[i][0] == html_main.MAIN}
+            zone = html_main.MAIN if any(z == html_main.MAIN for z, _ in lines) else html_main.OPEN
+            for _, j in pages[lines]:
+                out[j] = " ".join(t for i, (z, t) in enumerate(lines) if z == zone and i not in gone)
+    return out
+
+
+def test_differencing_against_plain_version(spark):
+    rng = random.Random(9)
+    line = lambda k: f"<p>{' '.join(rng.choice('abcdefgh') * rng.randrange(1, 4) for _ in range(k))}</p>"
+    data, removed = [], 0
+    for host in range(12):
+        head, tail, inside, quote = line(3), line(4) + line(2), line(2), line(9)
+        for k in range(rng.choice((1, 2, 3, 9, 40))):
+            own = "".join(line(rng.randrange(1, 12)) for _ in range(rng.randrange(1, 8))) + (quote if k % 3 == 0 else "")
+            body = head + (own if host % 2 else f"<article>{inside}{own}{inside}</article>") + tail
+            data.append((len(data), f"https://h{host}.org/{rng.choice('xyz')}/{k:03d}.html", page(body)))
+            if k % 5 == 0:  # the same page again, elsewhere, and nearly the same page
+                data += [(len(data) + i, f"http://www.h{host}.org/{s}/{k:03d}", page(body)) for i, s in enumerate("aq")]
+                data.append((len(data), f"http://h{host}.org/near/{k:03d}", page(body.replace("<p>", "<p>edited ", 1))))
+    data += [(len(data), f"http://hot.org/p/{i % 3}", page(f"<p>menu</p><p>page {i % 3} of three</p>")) for i in range(3000)]
+    rng.shuffle(data)
+    data = [(k, url, markup) for k, (_, url, markup) in enumerate(data)]
+    old = html_main.BLOCK
+    html_main.BLOCK = 8  # many blocks, so that neighbours lie across their edges
+    try:
+        df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(5)
+        got = {(r["page_id"], r["url"]): r for r in html_main.extract_main(df).collect()}
+    finally:
+        html_main.BLOCK = old
+    want = plain_pages(data)
+    assert len(got) == len(data)
+    for (i, url, markup), text in zip(data, want):
+        assert got[i, url]["text"] == text, url
+        removed += text != html_main.main_text(html_main.lines_of(markup))
+    assert removed > 3000
+
+
+def test_repeated_pages_keep_their_text(spark):
+    body = page("<p>Menu of the site</p><p>A story told once, at length.</p>")
+    other = page("<p>Menu of the site</p><p>Something else entirely here.</p>")
+    data = [(1, "http://a.org/s", body), (2, "http://a.org/s?x=1", body), (3, "http://a.org/t", body), (4, "http://a.org/z", other), (5, "http://b.org/s", body), (6, "http://b.org/s?y", body)]
+    got = {r["page_id"]: r["text"] for r in html_main.extract_main(spark.createDataFrame(data, "page_id long, url string, html string")).collect()}
+    told = "A story told once, at length."
+    assert got == {1: told, 2: told, 3: told, 4: "Something else entirely here.", 5: f"Menu of the site {told}", 6: f"Menu of the site {told}"}
+
+
+def test_unclosed_elements_are_linear():
+    began = time.perf_counter()
+    assert len(html_main.lines_of("<nav><section>x" * 40_000)) > 0
+    assert time.perf_counter() - began < 8
+
+
+def test_differencing_reaches_the_tables(spark):
+    """Every page is held against its partner: lines of markup's chrome, and without article tags the text's own neighbours."""
+    from pyspark.sql import functions as F
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    assert html_main.extract_main(pages).agg(F.sum("n_shared")).first()[0] > 0
+    shell = F.regexp_replace(F.regexp_replace("html", "</?article>", ""), "<body>", "<body><div>Welcome to the site</div>")
+    bare = html_main.extract_main(pages.withColumn("html", shell))
+    alone = bare.where("n_shared = 0").count()
+    assert alone < 60 and bare.where("text like '%Welcome to the site%'").count() == alone
+
+
 def test_host_and_path():
     f = html_main.host_and_path
     assert f("HTTP://WWW.A.org/x/y.html?q=1#z") == ("a.org", "/x/y") and f("http://a.org/") == ("a.org", "") and f(None) == ("", "")
