@@ -1,15 +1,18 @@
 """Best-fit packing by patterns and non-negative least squares.
 
-Lengths are counted; a pattern is a few lengths that fill a sequence well.  Repeat
-counts of patterns are fitted to the histogram by non-negative least squares
-(coordinate descent on a few thousand patterns), rounded down, and what remains of
-the histogram is packed best fit, longest first, a run of equal sequences at a time.
-All of that works on at most ``capacity`` numbers on the driver, whatever the number
-of documents.  A piece finds its sequence by its rank among the pieces of its length.
+Lengths are counted; a pattern is a few lengths that fill a sequence exactly: the
+whole length, every pair, and patterns drawn as the histogram has lengths, whose last
+length fills what is left.  Repeat counts of patterns are fitted to the histogram by
+non-negative least squares, rounded, and what remains is fitted again until ``SHARE``
+of all pieces have a place; the rest is packed best fit, longest first, a run of equal
+sequences at a time.  All of that works on at most ``capacity`` numbers on the driver,
+whatever the number of documents.  A piece finds its sequence by its rank among the
+pieces of its length.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -22,88 +25,131 @@ from .common import Scratch, lean, running, ship
 from .tokens import Encoder
 
 CAPACITY = 2048
+DRAWN, MOST = 6000, 16  # patterns drawn in a round, lengths in a pattern
+ROUNDS, SHARE, LEAST = 12, 0.9, 0.02  # rounds end with this share of the pieces placed, or when one places less than the least
+FRACTIONS = (0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05, 0.02)  # of repeat counts, at which rounding up may end
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
-def enumerate_patterns(histogram: np.ndarray, capacity: int, most: int = 4000) -> list[tuple[int, ...]]:
-    """Patterns of one to four lengths that fill a sequence as far as the histogram can.
+def enumerate_patterns(histogram: np.ndarray, capacity: int, seed: int = 0) -> np.ndarray:
+    """Patterns that fill a sequence exactly, one a row, longest length first, zeros after the last.
 
-    For each length: itself and its best partner; with frequent lengths also pairs and
-    triples of the fullest fit.  Lengths are given patterns in turn, one a round, until
-    a round ends with ``most`` patterns or more, so that each length leads some.
+    The whole length, all pairs, and of ``DRAWN`` draws those that come out full: lengths
+    follow one another by their frequency among those that fit, and one that comes near
+    enough to filling the sequence is exchanged for the length that does (how near, each
+    draw has its own measure).  No pattern holds more of a length than there is.
     """
-    present = np.flatnonzero(histogram[: capacity + 1])
-    present = present[present > 0]
-    out: dict[tuple[int, ...], None] = {}
+    h = histogram[: capacity + 1].astype(np.int64)
+    h[0] = 0
+    total, here, present = np.cumsum(h), h > 0, np.flatnonzero(h)
     if not len(present):
-        return []
-
-    def best(room: int, below: int) -> int:
-        """The longest present length that fits; 0 if none does."""
-        i = int(np.searchsorted(present, min(room, below), "right")) - 1
-        return int(present[i]) if i >= 0 else 0
-
-    frequent = present[np.argsort(-histogram[present], kind="stable")][:48]
-
-    def led_by(a: int) -> Iterator[tuple[int, ...]]:
-        p, room = [a], capacity - a
-        while room and len(p) < 4 and (b := best(room, a)):
-            p.append(b)
-            room -= b
-        yield tuple(p)
-        for b in frequent.tolist():
-            if a + b > capacity or b > a:
-                continue
-            c = best(capacity - a - b, b)
-            yield tuple(x for x in (a, b, c) if x)
-            if c and (d := best(capacity - a - b - c, c)):
-                yield (a, b, c, d)
-
-    leads = [led_by(a) for a in present[::-1].tolist()]
-    while leads and len(out) < most:
-        made = [(lead, next(lead, None)) for lead in leads]
-        out.update((p, None) for _, p in made if p)
-        leads = [lead for lead, p in made if p]
-    return list(out)
-
-
-def fit(patterns: list[tuple[int, ...]], histogram: np.ndarray, sweeps: int = 60) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise the squared distance of all patterns' lengths to the histogram."""
-    rest = histogram.astype(float).copy()
+        return np.zeros((0, MOST), np.int64)
+    rng = np.random.Generator(np.random.PCG64(seed))
+    drawn, room = np.zeros((DRAWN, MOST), np.int64), np.full(DRAWN, capacity)
+    near = capacity / 2 ** (8 * rng.random(DRAWN))
+    for k in range(MOST):
+        at = np.flatnonzero((room > 0) & (total[room] > 0))
+        r = room[at]
+        d = np.minimum(np.searchsorted(total, np.floor(rng.random(len(at)) * total[r]), "right"), r)
+        drawn[at, k] = np.where(here[r] & (r - d <= near[at]), r, d)
+        room[at] -= drawn[at, k]
+    short = present[2 * present <= capacity]
+    short = short[here[capacity - short]]
+    known = np.zeros((len(short) + int(here[capacity]), MOST), np.int64)
+    known[: len(short), 0], known[: len(short), 1] = capacity - short, short
+    known[len(short) :, 0] = capacity
+    out = np.unique(-np.sort(-np.concatenate([known, drawn[room == 0]]), axis=1), axis=0)
+    enough = np.ones(len(out), bool)
+    for k in range(MOST):
+        enough &= (out[:, k] == 0) | ((out == out[:, k : k + 1]).sum(1) <= h[out[:, k]])
+    return out[enough]
+
+
+def fit(patterns: np.ndarray, histogram: np.ndarray, steps: int = 1500, near: float = 0.001) -> np.ndarray:
+    """Repeat counts x >= 0 that minimise the squared distance of all patterns' lengths to the histogram.
+
+    Accelerated projected gradients, restarted where they overshoot, until the distance
+    is ``near`` of all pieces or after ``steps``.
+    """
+    goal = histogram.astype(float)
+    goal[0] = 0
+    flat, width = patterns.ravel(), patterns.shape[1]
+
+    def lengths(x: np.ndarray) -> np.ndarray:
+        made = np.bincount(flat, weights=np.repeat(x, width), minlength=len(goal))
+        made[0] = 0
+        return made
+
+    def back(rest: np.ndarray) -> np.ndarray:
+        return rest[patterns].sum(1)
+
+    v = np.ones(len(patterns))
+    for _ in range(30):  # the largest eigenvalue bounds the step
+        v = back(lengths(v))
+        largest = float(np.linalg.norm(v))
+        v /= largest
     x = np.zeros(len(patterns))
-    sparse = [(np.array(sorted(set(p))), np.array([p.count(v) for v in sorted(set(p))], float)) for p in patterns]
-    norm = [float((c * c).sum()) for _, c in sparse]
-    for _ in range(sweeps):
-        moved = 0.0
-        for i, (at, c) in enumerate(sparse):
-            step = max(-x[i], float(c @ rest[at]) / norm[i])
-            if step:
-                x[i] += step
-                rest[at] -= step * c
-                moved = max(moved, abs(step))
-        if moved < 0.25:
+    y, pace = x, 1.0
+    for k in range(steps):
+        rest = lengths(y) - goal
+        if k % 50 == 0 and np.abs(lengths(x) - goal).sum() <= near * goal.sum():
             break
+        new = np.maximum(0.0, y - back(rest) / (1.02 * largest))
+        faster = (1 + math.sqrt(1 + 4 * pace * pace)) / 2
+        if (new - x) @ (y - new) > 0:
+            y, pace = new, 1.0
+        else:
+            y, pace = new + (pace - 1) / faster * (new - x), faster
+        x = new
     return x
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns with counts that hold each length exactly as often as the histogram has it."""
+def fitted(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """Patterns with counts, rounded from the fit, and the histogram of what they leave.
+
+    Whole counts are taken first, then fractions are rounded up from the largest to the
+    smallest while there are pieces.  How far that goes is decided by the result: of the
+    ``FRACTIONS`` at which rounding may end, the one after which patterns and residual
+    need the fewest sequences, the furthest if they tie.
+    """
     left = histogram.astype(np.int64).copy()
     left[0] = 0
+    whole = int(left.sum())
     out: list[tuple[tuple[int, ...], int]] = []
-    patterns = enumerate_patterns(left, capacity)
-    # full patterns first, so that rounding gives way to them
-    x = fit(patterns, left) if patterns else np.zeros(0)
-    for i in sorted(range(len(patterns)), key=lambda i: (capacity - sum(patterns[i]), -x[i])):
-        if capacity - sum(patterns[i]) > capacity // 512:
-            continue  # patterns that leave room compete in the residual packing
-        n = int(x[i] + 1e-9)
-        for v in set(patterns[i]):
-            n = min(n, int(left[v]) // patterns[i].count(v))
-        if n > 0:
-            out.append((patterns[i], n))
-            for v in patterns[i]:
-                left[v] -= n
+    used, best = 0, (np.inf, 0, left)
+    for attempt in range(ROUNDS):
+        before = int(left.sum())
+        if before <= (1 - SHARE) * whole:
+            break
+        patterns = enumerate_patterns(left, capacity, attempt)
+        if not len(patterns):
+            break
+        x = fit(patterns, left)
+        floor = np.floor(x + 1e-6)
+        part = x - floor
+        for least, most in zip((1.0, *FRACTIONS), (np.inf, 1.0, *FRACTIONS)):
+            weight = x if least == 1.0 else part
+            for i in np.flatnonzero((weight >= least) & (weight < most))[np.argsort(-weight[(weight >= least) & (weight < most)], kind="stable")].tolist():
+                n = int(floor[i]) if least == 1.0 else 1
+                p = tuple(v for v in patterns[i].tolist() if v)
+                for v in set(p):
+                    n = min(n, int(left[v]) // p.count(v)) if n else 0
+                if n:
+                    out.append((p, n))
+                    used += n
+                    for v in p:
+                        left[v] -= n
+            needed = used + sum(n for _, n in residual(left, capacity))
+            if needed <= best[0]:
+                best = (needed, len(out), left.copy())
+        if before - int(left.sum()) < LEAST * whole:
+            break
+    return out[: best[1]], best[2]
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with counts that hold each length exactly as often as the histogram has it."""
+    out, left = fitted(histogram, capacity)
     return out + residual(left, capacity)
 
 

@@ -132,14 +132,38 @@ def test_plans_hold_the_histogram():
     assert packing.plan(np.zeros(9, np.int64), 8) == []
 
 
-def test_each_length_leads_patterns():
+def test_patterns_place_most_pieces():
+    """On histograms that have most lengths; one that lacks most is packed as tightly, by fewer patterns."""
     rng = np.random.default_rng(4)
-    h = np.zeros(2049, np.int64)
-    h[1:] = rng.integers(1, 40, 2048)
-    patterns = packing.enumerate_patterns(h, 2048)
-    assert {p[0] for p in patterns} == set(range(1, 2049)) and len(patterns) < 4000 + 2048
-    plan, left = packing.plan(h), h.copy()
-    for p, n in plan:
-        assert sum(p) <= 2048
-        np.subtract.at(left, list(p), n)
-    assert not left.any()
+    dense = [rng.integers(1, 40, 2049), np.full(2049, 1000), np.bincount(np.minimum(1 + rng.exponential(200, 200_000).astype(int), 2048), minlength=2049), np.bincount(np.minimum(1 + rng.lognormal(6, 1.2, 60_000).astype(int), 2048), minlength=2049)]
+    for h in dense:
+        h[0] = 0
+        out, left = packing.fitted(h, 2048)
+        made = np.zeros_like(h)
+        for p, n in out:
+            assert n > 0 and sum(p) == 2048
+            np.add.at(made, list(p), n)
+        assert (made + left == h).all() and (left >= 0).all()
+        assert made.sum() > 0.9 * h.sum()
+        used, least = sum(n for _, n in packing.plan(h)), -(-int((h * np.arange(2049)).sum()) // 2048)
+        assert used <= least * 1.0005 + 1, (used, least)
+
+
+def test_patterns_are_full_and_possible():
+    rng = np.random.default_rng(5)
+    for capacity in (8, 100, 2048):
+        h = rng.integers(0, 3, capacity + 1) * (rng.random(capacity + 1) < 0.3)
+        for p in packing.enumerate_patterns(h, capacity):
+            p = p[p > 0]
+            assert p.sum() == capacity and all((p == v).sum() <= h[v] for v in p)
+
+
+def test_fit_is_least_squares():
+    """Against the condition for a minimum: no gradient where a count is above 0, none that would lower it at 0."""
+    h = np.random.default_rng(6).integers(0, 9, 101)
+    patterns = packing.enumerate_patterns(h, 100)
+    x = packing.fit(patterns, h, steps=20_000, near=0)
+    rest = np.bincount(patterns.ravel(), weights=np.repeat(x, patterns.shape[1]), minlength=101) - h
+    rest[0] = 0
+    slope = rest[patterns].sum(1)
+    assert (x >= 0).all() and np.abs(slope[x > 1e-6]).max() < 0.05 and slope.min() > -0.05
