@@ -26,12 +26,13 @@ from .tokens import Encoder
 
 CAPACITY = 2048
 DRAWN, MOST = 6000, 16  # patterns drawn in a round, lengths in a pattern
+FAR, SLACK = 0.05, 64  # a fit of full patterns that misses this share of the pieces is made again with pairs that leave up to a 64th free
 ROUNDS, SHARE, LEAST = 12, 0.9, 0.02  # rounds end with this share of the pieces placed, or when one places less than the least
 FRACTIONS = (0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05, 0.02)  # of repeat counts, at which rounding up may end
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
-def enumerate_patterns(histogram: np.ndarray, capacity: int, seed: int = 0) -> np.ndarray:
+def enumerate_patterns(histogram: np.ndarray, capacity: int, seed: int = 0, slack: int = 0) -> np.ndarray:
     """Patterns that fill a sequence exactly, one a row, longest length first, zeros after the last.
 
     The whole length, all pairs, and of ``DRAWN`` draws those that come out full: lengths
@@ -53,12 +54,14 @@ def enumerate_patterns(histogram: np.ndarray, capacity: int, seed: int = 0) -> n
         d = np.minimum(np.searchsorted(total, np.floor(rng.random(len(at)) * total[r]), "right"), r)
         drawn[at, k] = np.where(here[r] & (r - d <= near[at]), r, d)
         room[at] -= drawn[at, k]
-    short = present[2 * present <= capacity]
-    short = short[here[capacity - short]]
-    known = np.zeros((len(short) + int(here[capacity]), MOST), np.int64)
-    known[: len(short), 0], known[: len(short), 1] = capacity - short, short
-    known[len(short) :, 0] = capacity
-    out = np.unique(-np.sort(-np.concatenate([known, drawn[room == 0]]), axis=1), axis=0)
+    known = [(capacity, 0)] if here[capacity] else []
+    for free in (0, *(1 << k for k in range(slack.bit_length()))):
+        long = present[2 * present >= capacity - free]
+        long = long[(long < capacity - free) & here[np.maximum(capacity - free - long, 0)]]
+        known += zip(long.tolist(), (capacity - free - long).tolist())
+    pairs = np.zeros((len(known), MOST), np.int64)
+    pairs[:, :2] = np.array(known, np.int64).reshape(-1, 2)
+    out = np.unique(-np.sort(-np.concatenate([pairs, drawn[room == 0]]), axis=1), axis=0)
     enough = np.ones(len(out), bool)
     for k in range(MOST):
         enough &= (out[:, k] == 0) | ((out == out[:, k : k + 1]).sum(1) <= h[out[:, k]])
@@ -104,10 +107,17 @@ def fit(patterns: np.ndarray, histogram: np.ndarray, steps: int = 1500, near: fl
     return x
 
 
+def distance(patterns: np.ndarray, x: np.ndarray, histogram: np.ndarray) -> float:
+    """Pieces by which the patterns' lengths differ from the histogram."""
+    made = np.bincount(patterns.ravel(), weights=np.repeat(x, patterns.shape[1]), minlength=len(histogram))
+    return float(np.abs(made - histogram)[1:].sum())
+
+
 def fitted(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
     """Patterns with counts, rounded from the fit, and the histogram of what they leave.
 
-    Whole counts are taken first, then fractions are rounded up from the largest to the
+    Full patterns are fitted; where they cannot come near the histogram (``FAR``), nearly
+    full pairs are added.  Whole counts are taken first, then fractions are rounded up from the largest to the
     smallest while there are pieces.  How far that goes is decided by the result: of the
     ``FRACTIONS`` at which rounding may end, the one after which patterns and residual
     need the fewest sequences, the furthest if they tie.
@@ -121,10 +131,13 @@ def fitted(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[
         before = int(left.sum())
         if before <= (1 - SHARE) * whole:
             break
-        patterns = enumerate_patterns(left, capacity, attempt)
+        for slack in (0, capacity // SLACK):
+            patterns = enumerate_patterns(left, capacity, attempt, slack)
+            x = fit(patterns, left) if len(patterns) else np.zeros(0)
+            if distance(patterns, x, left) <= FAR * before:
+                break
         if not len(patterns):
             break
-        x = fit(patterns, left)
         floor = np.floor(x + 1e-6)
         part = x - floor
         for least, most in zip((1.0, *FRACTIONS), (np.inf, 1.0, *FRACTIONS)):
