@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_main, licenses, mixing, ngram_join, packing, pii, quality, sharding, syncmers, token_store
-from .common import shared_dir
+from .common import Scratch
 from .tokens import vocabulary
 
 
@@ -17,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex[:12]}"
+    path = Scratch(spark, "token-store").path("store")  # goes when the driver ends
     token_store.write_store(_table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), 2)
     return token_store.read_crcs(spark, path)
 
