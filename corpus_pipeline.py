@@ -1,7 +1,9 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again.
 
 Every stage takes all rows that its predecessor kept; all but the last return the
-columns of ``documents``, with ``n_chars`` of the text as it then is.
+columns of ``documents``, with ``n_chars`` of the text as it then is.  Rows with null or
+repeated ids are documents like others in every stage; null and empty texts fail the
+quality rules; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,18 +16,23 @@ from graphsieve.llm.common import Scratch
 from graphsieve.llm.tokens import vocabulary
 
 
+#: So that reruns agree; whoever publishes the texts takes a secret one.
+SAMPLE_KEY = b"a key that everybody knows"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go; cutoffs come from the labels of documents that are still there."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, that of the smallest id."""
+    """One document of each component of near copies stays, that of the smallest id; null ids come last."""
     return ngram_join.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = pii.replace_pii(docs, counts=False)
+    """Every document stays, with surrogates for what is personal in it."""
+    out = pii.replace_pii(docs, SAMPLE_KEY, counts=False)
     return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -35,6 +42,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece, with its place in a sequence; copies of a document are packed as rows of their own."""
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 0, 2048)
 
 
