@@ -22,9 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship, word_count
+from .common import Scratch, partitions, ship, word_count
 
 CHUNK = 8192
+LOT = 65536  # equal rows that one task deals out
 MOST_COPIES = 3.0
 CYCLE = (5.0, 2.0, 1.0)
 
@@ -144,7 +145,7 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
     Null texts have size 0; documents without words take nothing that counts.  A null
     source is a source of its own, last in order.  Null or repeated ids are rows like
-    others (draws also use the text's hash; equal rows get draws by a running number).
+    others (draws also use the text's hash; equal rows are numbered, and draw by number).
     An empty table gives an empty plan.  Other columns are ignored, whatever their
     names.  The table of sources meets on the driver: one row a source, as many as
     there are weights to set.
@@ -152,7 +153,13 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "mix")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (word_count(F.col(text_col)) if size is None else size.cast("long")).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("h"))
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), (word_count(F.col(text_col)) if size is None else size.cast("long")).alias("size"), F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)).alias("row"))
+    # equal rows are counted and dealt out again by number, so that they go to different chunks and draw for themselves
+    counted = base.groupBy("id", "source", "size", "row").agg(F.count("*").alias("n"))
+    many = counted.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / LOT)))).repartition(partitions(spark), "row", "lot")
+    several = F.sequence(F.col("lot") * LOT, F.least(F.col("n"), (F.col("lot") + 1) * LOT) - 1)
+    base = many.select("id", "source", "size", "row", F.explode(several).alias("i"))
+    base = base.select("id", "source", "size", "row", F.when(F.col("i") == 0, F.col("row")).otherwise(F.xxhash64("row", "i")).alias("h"))
     base = scratch.save(base.withColumn("key", F.monotonically_increasing_id()), "sizes")
     stats = base.groupBy("source").agg(F.sum("size").alias("n"), F.count("*").alias("rows")).toPandas()
     names = [None if pd.isna(s) else s for s in stats["source"]]
@@ -168,8 +175,6 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     full = full.withColumn("r", ratio).withColumn("whole", F.floor("r").cast("long"))
     todo = full.select("src", F.pmod(F.xxhash64("h", F.lit(seed + 1)), F.col("chunks")).alias("chunk"), "key", "h", "size", (F.col("r") - F.col("whole")).alias("p"))
-    # equal rows of one table share h: the running number separates their draws
-    todo = todo.withColumn("h", F.xxhash64("h", F.row_number().over(Window.partitionBy("src", "chunk", "h").orderBy("key"))))
     level = scratch.save(todo.groupBy("src", "chunk").applyInPandas(_round_chunk, _ROUNDED), "level0")
     left, settled, k = level.where("open"), None, 0
     while True:
@@ -189,22 +194,23 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     # leftovers only: one row for each chunk of the first level
     taken = level.join(settled, "key", "left").select("key", F.coalesce(F.when(F.col("open"), F.col("late")), F.col("p")).alias("extra"))
     copies = (F.col("whole") + F.coalesce(F.round("extra"), F.lit(0.0)).cast("long")).cast("long")
-    out = full.join(taken, "key").select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), "h")
-    return out.select(id_col, "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "h")
+    out = full.join(taken, "key").select(F.col("id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), "row")
+    return out.select(id_col, "source", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "row")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, **options) -> DataFrame:
     """The documents of the mix, each repeated as often as the plan takes it; columns as in ``docs``.
 
-    Equal rows share what the plan gives to them, the first in order of reading take
-    what does not divide.
+    Equal rows share what the plan gives to them, the first by the hash of all their
+    columns take what does not divide.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, seed=seed, **options)
-    per = plan.groupBy(F.col("h").alias("__gs_ph"), F.hash(id_col, "size").alias("__gs_ph2")).agg(F.sum("copies").alias("__gs_all"), F.count("*").alias("__gs_rows"))
+    per = plan.groupBy(F.col("row").alias("__gs_ph"), F.hash(id_col, "size").alias("__gs_ph2")).agg(F.sum("copies").alias("__gs_all"), F.count("*").alias("__gs_rows"))
     marked = docs.withColumn("__gs_h", F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed))).withColumn("__gs_h2", F.hash(F.col(id_col), word_count(F.col(text_col))))
+    marked = marked.withColumn("__gs_all_columns", F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
     # a merge join deals both sides by the key that the window needs: text moves once
     joined = marked.join(per.where("__gs_all > 0").hint("merge"), (F.col("__gs_h") == F.col("__gs_ph")) & (F.col("__gs_h2") == F.col("__gs_ph2")))
-    turn = F.row_number().over(Window.partitionBy("__gs_h", "__gs_h2").orderBy(F.lit(1)))
+    turn = F.row_number().over(Window.partitionBy("__gs_h", "__gs_h2").orderBy("__gs_all_columns"))
     n = (F.floor(F.col("__gs_all") / F.col("__gs_rows")) + (F.col("__gs_turn") <= F.col("__gs_all") % F.col("__gs_rows")).cast("long")).cast("int")
     joined = joined.withColumn("__gs_turn", turn).withColumn("__gs_n", n)
     return joined.where("__gs_n > 0").withColumn("__gs_i", F.explode(F.sequence(F.lit(1), F.col("__gs_n")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, buffers, lean, mix, partitions, ship, slices, windows
+from .common import Scratch, Words, buffers, fresh, lean, mix, partitions, ship, slices, windows
 from .components import components, find_roots
 
 WIDTH = 5
@@ -400,18 +400,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents without those that have a near copy of smaller id; columns as in ``docs``.
+    """One document of each component, that of the smallest id; columns as in ``docs``.
 
-    Documents without words stay.  Of rows with equal ids in one component one stays.
+    Documents without words stay.  Rows are told apart by id and text, so rows with equal
+    or null ids are documents of their own: ids tie by the hash of id and text, null ids
+    come last.  Of rows with equal id and text one stays, by the hash of all its columns.
     """
-    found = jaccard_components(docs, id_col, text_col, **options)
-    gone = found.where((F.col("component_id") != F.col(id_col)) & F.col("component_id").isNotNull()).select(F.col(id_col).alias("__gs_gone")).distinct()
-    kept = docs.join(gone, F.col(id_col) == F.col("__gs_gone"), "left_anti")
-    twice = found.where(F.col("n_shingles") > 0).groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__gs_twice"))
-    scratch = Scratch(docs.sparkSession, "twice")
-    twice = scratch.save(twice, "ids")
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "kept")
+    key, mine = fresh(docs, "_key"), F.xxhash64(F.col(id_col), F.col(text_col))
+    keyed = docs.withColumn(key, mine)
+    found = jaccard_components(keyed, key, text_col, **options).where("n_shingles > 0").select(F.col(key).alias("key"), F.col("component_id").alias("component"))
+    found = scratch.save(found.groupBy("key", "component").agg(F.count("*").alias("rows")), "found")
+    ids = keyed.select(F.col(key).alias("key"), F.col(id_col).alias("id")).distinct()
+    named = scratch.save(found.join(ids, "key"), "named")
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))["key"].alias("first"))
+    gone = named.join(first, "component").where("key != first").select(F.col("key").alias("__gs_key"), F.col("id").alias("__gs_id"))
+    kept = keyed.join(gone, (F.col(key) == F.col("__gs_key")) & F.col(id_col).eqNullSafe(F.col("__gs_id")), "left_anti")
+    twice = scratch.save(named.where("rows > 1").select(F.col("key").alias("__gs_twice")).distinct(), "twice")
     if twice.isEmpty():
-        return kept
-    marked = kept.join(twice, F.col(id_col) == F.col("__gs_twice"), "left")
-    several = marked.where(F.col("__gs_twice").isNotNull()).select(*docs.columns).dropDuplicates([id_col])
-    return marked.where(F.col("__gs_twice").isNull()).select(*docs.columns).unionByName(several)
+        return kept.drop(key)
+    marked = kept.join(twice, F.col(key) == F.col("__gs_twice"), "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+    several = marked.where(F.col("__gs_twice").isNotNull()).groupBy(key, id_col).agg(F.min_by(row, whole).alias("__gs_row")).select("__gs_row.*")
+    return marked.where(F.col("__gs_twice").isNull()).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(several)

@@ -4,14 +4,25 @@ Detected entities get replacements that depend on a secret key and the entity al
 that equal entities stay equal everywhere (coreference) and different ones stay
 different.  A replacement keeps type and format: digits, letters and separators keep
 their places, a card number its first digit and whether its check digit holds, an IBAN
-its country and valid check digits, an address its class, a name its gender (of title
-or given name), script and case.
-
-Digits and letters are replaced by a keyed format-preserving permutation (a Feistel
-network over the radix), which cannot collide within a format.  A check over all of the
-corpus's distinct entities finds replacements that equal another entity or another's
-replacement (names come from limited lists); those are drawn again under the next
-attempt until none is left.
+its country and valid check digits, an address its class, a name its gender, script and
+case.
+
+Digits and letters go to the next one in a keyed order of all texts of their format (a
+Feistel network over the radix gives the order).  That is a bijection of the format
+without a fixed point, so however many of a format's texts are real, replacements are
+distinct and none is its own original; which of them are real elsewhere does not matter,
+for those are replaced too.
+
+Names come from limited lists, then from syllables, so a check over all of the corpus's
+distinct names finds replacements that equal another's or their original; those are drawn
+again, a syllable longer each time, so that clashes fall by a factor of 20 at least with
+every attempt.  After ``LAST`` attempts, when draws exceed 100 bits, a clash is an error.
+
+A name is found after a title; words so found are names wherever else they stand in the
+text in the same case, unless the text also has them in small letters.  A given name has
+one surrogate, whatever titles it follows: its gender is what most titles of the corpus
+say, without any that of the list or ending.  Digits without separators are a card number
+only if the check digit holds.
 """
 
 from __future__ import annotations
@@ -26,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, fresh, lean, ship
 
-KINDS = ("email", "iban", "secret", "mac", "ip", "ssn", "card", "phone", "given_m", "given_f", "given_n", "surname")
+KINDS = ("email", "iban", "secret", "mac", "ip", "ssn", "card", "phone", "given", "surname")
+LAST = 24
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 MALE = ("Mr", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "господин", "Господин", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "госпожа", "Госпожа", "г-жа")
@@ -55,6 +67,8 @@ _HINT = re.compile(r"[0-9@]")
 _MAC_HINT = re.compile(r"[:-][A-Fa-f]{2}[:-]")
 _TITLES = re.compile(rf"(?<!\w)(?:{_TITLE})")
 _NAMED = re.compile(_NAME)
+_CAPITAL = re.compile(rf"(?<!\w){_CAP}(?!\w)")
+_WORD = re.compile(r"(?<!\w)[a-zß-öø-ÿа-яё]+(?:[-'’][a-zß-öø-ÿа-яё]+)?(?!\w)")
 _KEY_END = re.compile(rf"{_KEY}\Z")
 #: Given names by gender and script, syllables of surnames by script.
 GIVEN = {
@@ -75,13 +89,19 @@ def _round(key: bytes, tweak: str, r: int, half: int) -> int:
 
 
 def permute(value: int, size_a: int, size_b: int, key: bytes, tweak: str) -> int:
-    """A keyed bijection of 0 .. size_a * size_b - 1."""
+    """The next of 0 .. size_a * size_b - 1 in a keyed order: a bijection, without a fixed point from two values on."""
     a, b = divmod(value, size_b)
     for r in range(10):
         if r % 2:
             b = (b + _round(key, tweak, r, a)) % size_b
         else:
             a = (a + _round(key, tweak, r, b)) % size_a
+    a, b = divmod((a * size_b + b + 1) % (size_a * size_b), size_b)
+    for r in reversed(range(10)):
+        if r % 2:
+            b = (b - _round(key, tweak, r, a)) % size_b
+        else:
+            a = (a - _round(key, tweak, r, b)) % size_a
     return a * size_b + b
 
 
@@ -149,49 +169,61 @@ def script_of(name: str) -> str:
     return "cyrillic" if re.search(r"[а-яёА-ЯЁ]", name) else "latin"
 
 
-def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0) -> str:
+def guess(canon: str) -> str:
+    """The gender of a given name that no title tells: by list, else by ending."""
+    for gender in "nfm":
+        if any(canon == x.lower() for k in ("latin", "cyrillic") for x in GIVEN[gender, k]):
+            return gender
+    return "f" if canon.endswith(("a", "ette", "elle", "ine", "lyn", "а", "я")) else "m"
+
+
+_HEX = re.compile(r"[0-9a-f]+")
+
+
+def surrogate(kind: str, canon: str, key: bytes, attempt: int = 0, gender: str = "") -> str:
     """The replacement of an entity in canonical form, in canonical form."""
-    tweak = f"{kind}|{attempt}"
     if kind == "email":
         local, _, domain = canon.rpartition("@")
         labels = domain.split(".")
-        return by_class(local, key, tweak) + "@" + ".".join([*(by_class(x, key, "domain") for x in labels[:-1]), labels[-1]])
+        return by_class(local, key, kind) + "@" + ".".join([*(by_class(x, key, "domain") for x in labels[:-1]), labels[-1]])
     if kind == "ip":
-        return _ip(canon, key, tweak)
+        return _ip(canon, key, kind)
     if kind == "card":
-        body = canon[0] + permute_text(canon[1:-1], _DIGIT, key, tweak)
+        body = canon[0] + permute_text(canon[1:-1], _DIGIT, key, kind)
         return body + str((luhn(body) + int(canon[-1]) - luhn(canon[:-1])) % 10)
     if kind == "iban":
-        rest = by_class(canon[4:], key, tweak + canon[:2])
+        rest = by_class(canon[4:], key, kind + canon[:2])
         return canon[:2] + _iban_check(canon[:2], rest) + rest
     if kind == "phone":
         code, _, rest = canon.partition("|")
-        return code + "|" + permute_text(rest, _DIGIT, key, tweak + code)
-    if kind == "secret" and re.fullmatch(r"[0-9a-f]+", canon):
-        return permute_text(canon, _DIGIT + "abcdef", key, tweak)
+        return code + "|" + permute_text(rest, _DIGIT, key, kind + code)
+    if kind == "mac" or kind == "secret" and _HEX.fullmatch(canon):
+        return permute_text(canon, _DIGIT + "abcdef", key, kind)
     if kind in ("secret", "ssn"):
-        return by_class(canon, key, tweak)
-    if kind == "mac":
-        return permute_text(canon, _DIGIT + "abcdef", key, tweak)
+        canon = by_class(canon, key, kind)
+        while kind == "secret" and _HEX.fullmatch(canon):  # walks the cycle until it leaves the other class
+            canon = by_class(canon, key, kind)
+        return canon
     script = script_of(canon)
-    draw = _round(key, tweak, 0, int.from_bytes(blake2b(canon.encode(), digest_size=8).digest(), "big"))
-    if kind.startswith("given") and attempt == 0:
-        names = GIVEN[(kind[-1], script)]
+    gender = (gender or guess(canon)) if kind == "given" else "s"
+    draw = _round(key, f"{kind}|{attempt}", 0, int.from_bytes(blake2b(canon.encode(), digest_size=8).digest(), "big"))
+    if kind == "given" and attempt == 0:
+        names = GIVEN[gender, script]
         return names[draw % len(names)].lower()
     syllables, out = SYLLABLES[script], ""
-    for _ in range(3 + attempt // 8):
+    for _ in range(3 + attempt):
         draw, k = divmod(draw, len(syllables))
         out += syllables[k]
-    return out + ENDINGS[(kind[-1] if kind.startswith("given") else "s", script)]
+    return out + ENDINGS[gender, script]
 
 
 class Entity:
-    """A span of a text, its kind and canonical form, and how a replacement is written there."""
+    """A span of a text, its kind and canonical form, how a replacement is written there, and the gender that a title tells."""
 
-    __slots__ = ("start", "end", "kind", "canon", "written")
+    __slots__ = ("start", "end", "kind", "canon", "written", "gender")
 
-    def __init__(self, start: int, end: int, kind: str, canon: str, written: str):
-        self.start, self.end, self.kind, self.canon, self.written = start, end, kind, canon, written
+    def __init__(self, start: int, end: int, kind: str, canon: str, written: str, gender: str = ""):
+        self.start, self.end, self.kind, self.canon, self.written, self.gender = start, end, kind, canon, written, gender
 
     def write(self, value: str) -> str:
         w = self.written
@@ -205,7 +237,7 @@ class Entity:
             return out
         if w.isupper():
             return out.upper()
-        if self.kind.startswith("given") or self.kind == "surname":
+        if self.kind in ("given", "surname"):
             return out[:1].upper() + out[1:]
         return out
 
@@ -283,10 +315,11 @@ def entities(text: str) -> list[Entity]:
         if kind == "name" or kind == "title":
             title, name = m["title"], m["name"]
             parts, at = re.split(r"(\s+)", name), m.start("name")
-            given = f"given_{'m' if title in MALE else 'f' if title in FEMALE else 'n'}"
+            gender = "m" if title in MALE else "f" if title in FEMALE else ""
             for k, part in enumerate(parts):
                 if k % 2 == 0:
-                    out.append(Entity(at, at + len(part), given if k == 0 and len(parts) > 1 else "surname", part.lower(), part))
+                    kind = "given" if k == 0 and len(parts) > 1 else "surname"
+                    out.append(Entity(at, at + len(part), kind, part.lower(), part, gender if kind == "given" else ""))
                 at += len(part)
             continue
         kind = next(g for g in ("iban", "secret", "secret2", "mac", "ip", "ssn", "card", "phone") if m[g] is not None)
@@ -299,6 +332,8 @@ def entities(text: str) -> list[Entity]:
                 continue
         elif kind == "card":
             canon = re.sub(r"\D", "", found)
+            if canon == found and luhn(canon[:-1]) != int(canon[-1]):
+                continue
         elif kind == "phone":
             digits = re.sub(r"\D", "", found)
             if not 7 <= len(digits) <= 15:
@@ -316,85 +351,135 @@ def entities(text: str) -> list[Entity]:
         else:
             canon = found
         out.append(Entity(s, e, kind, canon, found))
+    return _mentions(text, out)
+
+
+def _mentions(text: str, found: list[Entity]) -> list[Entity]:
+    """With the words that are names after a title also where they stand without one."""
+    names: dict[str, Entity] = {}
+    for x in found:
+        if x.kind in ("given", "surname"):
+            names.setdefault(x.written, x)
+    if not names:
+        return found
+    words = {m[0] for m in _WORD.finditer(text)}
+    names = {w: x for w, x in names.items() if x.canon not in words}
+    more, k = [], 0
+    for m in _CAPITAL.finditer(text) if names else ():
+        if (x := names.get(m[0])) is None:
+            continue
+        while k < len(found) and found[k].end <= m.start():
+            k += 1
+        if k == len(found) or found[k].start >= m.end():
+            more.append(Entity(m.start(), m.end(), x.kind, x.canon, m[0]))
+    return sorted([*found, *more], key=lambda x: x.start) if more else found
+
+
+def genders(found: list[Entity]) -> dict[str, int]:
+    """By given name, how many more titles of men than of women it follows."""
+    out: dict[str, int] = {}
+    for x in found:
+        if x.kind == "given":
+            out[x.canon] = out.get(x.canon, 0) + (x.gender == "m") - (x.gender == "f")
     return out
 
 
-def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None = None) -> tuple[str, list[Entity]]:
-    """The text with surrogates, and the entities that it had."""
+def replace(text: str, key: bytes, known: dict[tuple[str, str], tuple[int, str]] | None = None) -> tuple[str, list[Entity]]:
+    """The text with surrogates, and the entities that it had.
+
+    known: attempt and gender by kind and canonical form where they are not 0 and the
+    guess; without it the text is all there is, and its own titles tell genders.
+    """
     found = entities(text)
     if not found:
         return text, found
+    if known is None:
+        known = {("given", c): (0, "m" if n > 0 else "f") for c, n in genders(found).items() if n}
     out, at = [], 0
     for x in found:
-        out += [text[at : x.start], x.write(surrogate(x.kind, x.canon, key, (attempts or {}).get((x.kind, x.canon), 0)))]
+        out += [text[at : x.start], x.write(surrogate(x.kind, x.canon, key, *known.get((x.kind, x.canon), (0, ""))))]
         at = x.end
     return "".join([*out, text[at:]]), found
 
 
+_NAMES = pa.schema([("kind", pa.string()), ("canon", pa.string()), ("men", pa.int64())])
+
+
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The names of a batch's texts and what titles tell of them."""
     for b in batches:
-        seen = {(x.kind, x.canon) for t in b.column(0).to_pylist() if t for x in entities(t)}
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.string())], ["kind", "canon"])
+        seen: dict[tuple[str, str], int] = {}
+        for t in b.column(0).to_pylist():
+            if t and any(x in t for x in (*MALE, *FEMALE, *NEUTRAL)):
+                found = entities(t)
+                votes = genders(found)
+                for at in {(x.kind, x.canon) for x in found if x.kind in ("given", "surname")}:
+                    seen[at] = seen.get(at, 0) + (votes.get(at[1], 0) if at[0] == "given" else 0)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in seen], pa.string()), pa.array([x for _, x in seen], pa.string()), pa.array(list(seen.values()), pa.int64())], schema=_NAMES)
 
 
 def _draw(key: bytes):
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [surrogate(k, c, key, a) for k, c, a in zip(*(b.column(i).to_pylist() for i in range(3)))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["kind", "canon", "attempt", "made"])
+            made = [surrogate(k, c, key, a, g) for k, c, g, a in zip(*(b.column(i).to_pylist() for i in range(4)))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], ["kind", "canon", "gender", "attempt", "made"])
 
     return draw
 
 
 def resolve(known: DataFrame, key: bytes, scratch: Scratch) -> DataFrame:
-    """kind, canon, attempt, made with no ``made`` equal to another's or to any canon of its kind."""
-    schema = "kind string, canon string, attempt int, made string"
-    settled, k = None, 0
-    todo = known.withColumn("attempt", F.lit(0))
-    while True:
+    """kind, canon, gender, attempt, made for each distinct name, no ``made`` equal to its canon or to another's."""
+    schema = "kind string, canon string, gender string, attempt int, made string"
+    columns = ["kind", "canon", "gender", "attempt"]
+    settled, todo = None, known.withColumn("attempt", F.lit(0))
+    for k in range(LAST):
         made = scratch.save(todo.mapInArrow(lean(_draw(key)), schema), f"made{k}")
         # of equal replacements the smallest canon keeps its own; earlier ones are kept before
-        rivals = made.groupBy("kind", "made").agg(F.min("canon").alias("first"))
-        bad = made.join(rivals, ["kind", "made"]).where("canon != first").select("kind", "canon", "attempt")
-        real = made.join(known.select("kind", F.col("canon").alias("made")), ["kind", "made"], "left_semi").select("kind", "canon", "attempt")
-        bad = bad.unionByName(real)
+        rivals = made.where("made != canon").groupBy("kind", "made").agg(F.min("canon").alias("first"))
+        bad = made.join(rivals, ["kind", "made"], "left").where("first is null or canon != first").select(columns)
         if settled is not None:
-            bad = bad.unionByName(made.join(settled.select("kind", "made"), ["kind", "made"], "left_semi").select("kind", "canon", "attempt"))
+            bad = bad.unionByName(made.join(settled.select("kind", "made"), ["kind", "made"], "left_semi").select(columns))
         bad = scratch.save(bad.distinct(), f"bad{k}")
         good = made.join(bad.select("kind", "canon"), ["kind", "canon"], "left_anti")
         settled = scratch.save(good if settled is None else settled.unionByName(good), f"settled{k}")
         if bad.isEmpty():
             return settled
-        k += 1
         todo = bad.withColumn("attempt", (F.col("attempt") + 1).cast("int"))
+    raise RuntimeError(f"replacements still clash after {LAST} attempts")
 
 
-def replace_pii(docs: DataFrame, key: bytes = b"graphsieve", id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+def replace_pii(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
     """All columns of ``docs`` with surrogates in the text; with ``counts`` also n_entities and one count a kind.
 
-    Null texts stay null, empty ones empty.  Repeated rows are replaced alike.  Empty
-    tables give no rows.  A count whose name a column of ``docs`` has gets underscores.
+    key: secret bytes, 64 at most; who has it can undo the replacements.  Null texts stay
+    null, empty ones empty.  Repeated rows are replaced alike.  Ties (two names that draw
+    the same replacement) go to the smaller name, so reruns agree.  A text is searched
+    whole, however long; time is linear in it.  Empty tables give no rows.  A count whose
+    name a column of ``docs`` has gets underscores.
     """
     spark = docs.sparkSession
     ship(spark)
+    if not key or len(key) > 64:
+        raise ValueError("surrogates need a key of 1 to 64 bytes")
     scratch = Scratch(spark, "pii")
-    known = scratch.save(docs.select(F.col(text_col)).mapInArrow(lean(_distinct), "kind string, canon string").distinct(), "known")
-    again = scratch.save(resolve(known, key, scratch).where("attempt > 0").select("kind", "canon", "attempt"), "again")
-    source, extra = docs, fresh(docs, "_attempts")
+    votes = docs.select(F.col(text_col)).mapInArrow(lean(_distinct), "kind string, canon string, men long").groupBy("kind", "canon").agg(F.sum("men").alias("men"))
+    known = scratch.save(votes.select("kind", "canon", F.when(F.col("men") > 0, "m").when(F.col("men") < 0, "f").otherwise("").alias("gender")), "known")
+    again = scratch.save(resolve(known, key, scratch).where("attempt > 0 or gender != ''").select("kind", "canon", "attempt", "gender"), "again")
+    source, extra = docs, fresh(docs, "_known")
     if again.isEmpty():
-        source = docs.withColumn(extra, F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
+        source = docs.withColumn(extra, F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int,gender:string>>"))
     else:
         row = F.xxhash64(F.col(text_col))
 
         def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                rows = {(h, x.kind, x.canon) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for x in entities(t)}
+                rows = {(h, x.kind, x.canon) for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for x in entities(t) if x.kind in ("given", "surname")}
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows) if rows else ((), (), ()), (pa.int64(), pa.string(), pa.string()))], ["h", "kind", "canon"])
 
         where = docs.select(row.alias("h"), F.col(text_col)).mapInArrow(lean(occurrences), "h long, kind string, canon string").distinct()
-        lists = scratch.save(where.join(again, ["kind", "canon"]).groupBy("h").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias(extra)), "lists")
+        lists = scratch.save(where.join(again, ["kind", "canon"]).groupBy("h").agg(F.collect_list(F.struct("kind", "canon", "attempt", "gender")).alias(extra)), "lists")
         h = fresh(docs, "_h")
-        # few texts have such an entity: only those meet the list
+        # only texts with such a name meet the list
         source = docs.withColumn(h, row).join(lists.withColumnRenamed("h", h), h, "left").drop(h)
     at, names = docs.columns.index(text_col), [fresh(docs, f"n_{k}") for k in KINDS]
     total = fresh(docs, "n_entities")
@@ -408,7 +493,7 @@ def replace_pii(docs: DataFrame, key: bytes = b"graphsieve", id_col: str = "doc_
                     texts.append(None)
                     numbers.append([0] * len(KINDS))
                     continue
-                new, found = replace(t, key, {(x["kind"], x["canon"]): x["attempt"] for x in a} if a else None)
+                new, found = replace(t, key, {(x["kind"], x["canon"]): (x["attempt"], x["gender"]) for x in a or ()})
                 texts.append(new)
                 numbers.append([sum(x.kind == k for x in found) for k in KINDS] if found else [0] * len(KINDS))
             columns = list(b.columns[:-1])

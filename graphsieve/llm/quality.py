@@ -9,8 +9,8 @@ cutoffs of one rule are tested from lenient to strict, stopping at the first tha
 fails (fixed sequence), so with probability 1 - delta no stratum rejects more than
 ``risk`` of its good documents.  Among admissible cutoffs the one with the largest
 gain (bad ones rejected minus ``price`` times good ones) is taken, the most lenient
-if they tie; where fewer than ``LEAST_BAD`` bad ones go, the rule does not act in that
-stratum.
+if they tie; where fewer than ``least_bad`` bad ones (10) go, the rule does not act in that
+stratum, at any size of the data: a cutoff that a few examples carry is chance.
 
 Counts over all labelled documents go into a table of strata x rules x cutoffs, whose
 size does not follow the data.
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import Scratch, Words, buffers, fresh, lean, ship, slices, windows
 
 RULES = ("symbol_ratio", "upper_ratio", "repeat_line_ratio")
-LEAST_BAD = 10
 #: Cutoffs from strict to lenient; a score at or above the cutoff rejects.
 GRID = tuple(round(0.02 * 1.122**k, 6) for k in range(34))
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, " + ", ".join(f"{r} double" for r in RULES)
@@ -154,7 +153,7 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return hi
 
 
-def calibrate(counts: dict[tuple[str, str], dict[str, np.ndarray]], totals: dict[str, tuple[int, int]], risk: float, delta: float, price: float) -> dict[tuple[str, str], float]:
+def calibrate(counts: dict[tuple[str, str], dict[str, np.ndarray]], totals: dict[str, tuple[int, int]], risk: float, delta: float, price: float, least_bad: int = 10) -> dict[tuple[str, str], float]:
     """Cutoffs by (stratum, rule). counts: good and bad ones at or above each cutoff; totals: good and bad by stratum."""
     tested = max(1, len(totals) * len(RULES))
     out = {}
@@ -165,14 +164,14 @@ def calibrate(counts: dict[tuple[str, str], dict[str, np.ndarray]], totals: dict
             if upper_bound(int(c["good"][k]), n, delta / tested) > risk / len(RULES):
                 break
             g = float(c["bad"][k]) - price * float(c["good"][k])
-            if g > gain and c["bad"][k] >= LEAST_BAD:
+            if g > gain and c["bad"][k] >= least_bad:
                 best, gain = k, g
         if best is not None:
             out[(stratum, rule)] = GRID[best]
     return out
 
 
-def thresholds(measured: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, quality_col: str = "quality", risk: float = 0.05, delta: float = 0.05, price: float = 10.0) -> dict[tuple[str, str], float]:
+def thresholds(measured: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, quality_col: str = "quality", risk: float = 0.05, delta: float = 0.05, price: float = 10.0, least_bad: int = 10) -> dict[tuple[str, str], float]:
     """Cutoffs from all labelled documents that pass the base rules. A null stratum is one of its own; null labels don't count.
 
     Of several labels of one id the smallest counts; a label without a document does nothing.
@@ -192,7 +191,7 @@ def thresholds(measured: DataFrame, labels: DataFrame, id_col: str, stratum_col:
         totals[s] = (row["n1"], row["n0"])
         for r in RULES:
             counts[(s, r)] = {name: np.array([row[f"{r}.{name}.{k}"] for k in range(len(GRID))]) for name in ("good", "bad")}
-    return calibrate(counts, totals, risk, delta, price)
+    return calibrate(counts, totals, risk, delta, price, least_bad)
 
 
 def verdict(cutoffs: dict[tuple[str, str], float], stratum_col: str):
@@ -220,13 +219,12 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:
     """The documents that judge() keeps, with all columns of ``docs``.
 
-    The texts of labelled documents are measured for the cutoffs, then each document
-    is measured and judged where it is read: texts are not shuffled.
+    Each text is measured once: documents are written with their measures, the labelled
+    ones give the cutoffs, and the verdict filters what was written.  Texts are not
+    shuffled.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "quality")
-    measured = scratch.save(with_measures(docs, text_col, [id_col, stratum_col]), "measured")
-    cutoffs = thresholds(measured, labels, id_col, stratum_col, **options)
+    scratch = Scratch(docs.sparkSession, "quality")
+    ship(docs.sparkSession)
     names = [f.strip().split()[0] for f in COLUMNS.split(",")]
     renamed = {n: fresh(docs, f"_m_{n}") for n in names}
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"{renamed[x.split()[0]]} {x.split()[1]}" for x in COLUMNS.split(", ")])
@@ -236,9 +234,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, *measure(b.column(at))], [*b.schema.names, *renamed.values()])
 
-    judged = docs.mapInArrow(lean(run), schema)
+    measured = scratch.save(docs.mapInArrow(lean(run), schema), "measured")
+    plain = measured.select(id_col, stratum_col, *[F.col(renamed[n]).alias(n) for n in names])
+    cutoffs = thresholds(plain, labels, id_col, stratum_col, **options)
     stratum = F.coalesce(F.col(stratum_col).cast("string"), F.lit("\0null"))
-    bad = (F.col(renamed["n_words"]) < 20) | (100 * F.col(renamed["n_repeat_words"]) > 30 * F.col(renamed["n_words"]))
+    bad = base_failed(renamed["n_words"], renamed["n_repeat_words"])
     for (s, r), cut in sorted(cutoffs.items()):
         bad = bad | ((stratum == s) & (F.col(renamed[r]) >= cut))
-    return judged.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return measured.where(~bad).select(*[F.col(f"`{c}`") for c in docs.columns])

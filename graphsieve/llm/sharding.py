@@ -27,14 +27,18 @@ class Shard:
     weight: float = 1.0
 
 
-def topology(n: int) -> tuple[Shard, ...]:
-    """``n`` equal shards: full racks of four and regions of two racks, then a region for each further shard.
-
-    Growing by one shard therefore always opens a new subtree, so rows move only
-    into the new shard.  Sixteen shards are two regions of two racks of four.
+def topology(n: int, built: int | None = None) -> tuple[Shard, ...]:
+    """``n`` equal shards, of which the first ``built`` (all, if not given) were laid out at once.
+
+    Those are racks of four and regions of two racks; what is left over there, and each
+    shard that was added later, is a region of its own.  So ``grow(topology(n, built))``
+    is ``topology(n + 1, built)``, and rows move only into the new shard.  A tree that was
+    laid out anew for another number of shards is another tree: a cluster keeps its
+    ``built``.  Sixteen shards are two regions of two racks of four.
     """
     whole = SHARDS_A_RACK * RACKS_A_REGION
-    base = n - n % whole
+    built = n if built is None else built
+    base = min(n, built) // whole * whole
     out = [Shard(s, s // whole, s // SHARDS_A_RACK) for s in range(base)]
     return tuple(out + [Shard(s, base // whole + s - base, base // SHARDS_A_RACK + s - base) for s in range(base, n)])
 

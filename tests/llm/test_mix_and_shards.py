@@ -129,3 +129,12 @@ def test_movement_is_confined_and_balanced(spark):
 def test_empty(spark, empty):
     assert mixing.mix_plan(empty).count() == 0 and mixing.mix_documents(empty).count() == 0
     assert sharding.shard_documents(empty).count() == 0
+
+
+def test_growing_keeps_the_tree():
+    for built in range(1, 25):
+        for n in range(built, 41):
+            tree = sharding.topology(n, built)
+            assert sharding.grow(tree) == sharding.topology(n + 1, built) and [s.number for s in tree] == list(range(n))
+            new = sharding.grow(tree)[-1]
+            assert new.region not in {s.region for s in tree} and new.rack not in {s.rack for s in tree}

@@ -91,15 +91,37 @@ def test_t_occurrence_against_pairs():
 
 
 def test_stage_keeps_one(spark, docs):
+    """One row of each component, of its smallest id; rows with equal or null ids and other texts are not its copies."""
     kept = ngram_join.keep_one(docs)
     assert kept.columns == docs.columns
-    ids = Counter(r["doc_id"] for r in kept.collect())
-    found = ngram_join.jaccard_components(docs).collect()
-    some = {r["component_id"] for r in found if r["n_shingles"] and r["component_id"] is not None}
-    assert all(ids[c] >= 1 for c in some)
-    gone = {r["doc_id"] for r in found if r["component_id"] is not None and r["component_id"] != r["doc_id"]}
-    assert not gone & set(ids)
-    assert ids[5] + ids[7] + ids[8] <= 4
+    got = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    data = Counter((r[0], r[1]) for r in rows())
+    sets = {}
+    for i, t in data:
+        w = [x.translate(LOWER) for x in words(t)]
+        sets[i, t] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    keys = [k for k in sets if sets[k]]
+    root = {k: k for k in keys}
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for n, x in enumerate(keys):
+        for y in keys[:n]:
+            both = len(sets[x] & sets[y])
+            if both and 175 * both >= 75 * (len(sets[x]) + len(sets[y])):
+                root[top(x)] = top(y)
+    parts = {}
+    for k in keys:
+        parts.setdefault(top(k), []).append(k)
+    assert all(got[k] == n for k, n in data.items() if not sets[k])
+    for members in parts.values():
+        stay = [k for k in members if got[k]]
+        ids = [i for i, _ in members if i is not None]
+        assert len(stay) == 1 and got[stay[0]] == 1 and stay[0][0] == (min(ids) if ids else None)
+    assert sum(got.values()) == len(parts) + sum(n for k, n in data.items() if not sets[k])
 
 
 @pytest.mark.parametrize("most", [10**6, 15])

@@ -43,6 +43,19 @@ def test_run_agrees_with_itself(spark):
     assert a == b and a
 
 
+def test_awkward_rows_pass_all_stages(spark, docs, empty, tmp_path):
+    """Null and repeated ids, null and empty texts, clashing columns; and a table without rows."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    for name, table in (("some", docs), ("none", empty)):
+        folder = f"{tmp_path}/{name}"
+        table.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder).collect()
+        assert bool(out) == (name == "some")
+        ids = {r["doc_id"] for r in docs.collect()}
+        assert {r["doc_id"] for r in out} <= ids
+
+
 @needs_tables
 @pytest.mark.parametrize("name", [n for n in entry.queries() if n.startswith("op")])
 def test_queries_cover_their_table(spark, name):

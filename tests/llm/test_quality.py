@@ -87,7 +87,7 @@ def test_cutoffs_against_enumeration(spark):
                 g, b = int((hit.good == 1).sum()), int((hit.good == 0).sum())
                 if quality.upper_bound(g, int((part.good == 1).sum()), 0.05 / tested) > 0.05 / len(quality.RULES):
                     break
-                if b - 10 * g > best and b >= quality.LEAST_BAD:
+                if b - 10 * g > best and b >= 10:
                     best, want[s, rule] = b - 10 * g, cut
     assert got == want and want
 
