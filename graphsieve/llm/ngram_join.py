@@ -414,7 +414,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     found = scratch.save(found.groupBy("key", "component").agg(F.count("*").alias("rows")), "found")
     ids = keyed.select(F.col(key).alias("key"), F.col(id_col).alias("id")).distinct()
     named = scratch.save(found.join(ids, "key"), "named")
-    first = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))["key"].alias("first"))
+    # written, so that a large component's rows may be split where they meet it
+    first = scratch.save(named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key"))["key"].alias("first")), "first")
     gone = named.join(first, "component").where("key != first").select(F.col("key").alias("__gs_key"), F.col("id").alias("__gs_id"))
     kept = keyed.join(gone, (F.col(key) == F.col("__gs_key")) & F.col(id_col).eqNullSafe(F.col("__gs_id")), "left_anti")
     twice = scratch.save(named.where("rows > 1").select(F.col("key").alias("__gs_twice")).distinct(), "twice")
