@@ -32,9 +32,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one where unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a local one where it is unset and all runs on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="gs-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
@@ -47,11 +49,15 @@ class Scratch:
     ``save`` writes a DataFrame and reads it back, which cuts the lineage; a lost
     executor costs nothing that is already written.  ``drop`` removes a table as
     soon as later ones no longer need it, the rest goes when the driver ends.
+    ``LIVE`` holds those that still have tables.
     """
 
+    LIVE: set[Scratch] = set()
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.base = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        Scratch.LIVE.add(self)
         atexit.register(self.drop)
 
     def path(self, table: str) -> str:
@@ -68,6 +74,8 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, table: str | None = None) -> None:
+        if table is None:
+            Scratch.LIVE.discard(self)
         try:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(self.path(table) if table else self.base)
