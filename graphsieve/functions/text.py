@@ -123,17 +123,27 @@ def interpolated(code: Column) -> Column:
     return F.regexp_extract_all(code, F.lit(r"\{(\w+)\}"), F.lit(1))
 
 
+#: Words that are no candidate unless they are the whole code.
+PLAIN_WORDS = ("SELECT", "FROM", "WHERE", "AND", "OR", "LIKE", "ORDER", "BY", "LIMIT", "INSERT", "INTO", "VALUES", "UPDATE", "SET", "DELETE", "NULL", "IS")
+
+
 def candidates(code: Column) -> Column:
-    """Texts to look for in a file where a code snippet is not found as it is: longest first.
+    """Texts to look for in a file where a code snippet is not found as it is: longest first, then as they come.
 
-    The snippet, its first line, the quoted parts, the call heads and the identifiers.
+    The snippet, the parts between its commas without quotes, what follows its first
+    equals sign, whole calls with their arguments, and dotted names; of three characters
+    at least, words of SQL only if they are all there is.
     """
-    line = F.trim(F.regexp_extract(code, r"^\s*([^\n]*)", 1))
-    quoted = F.regexp_extract_all(code, F.lit("[\"']([^\"']{3,})[\"']"), F.lit(1))
-    heads = F.regexp_extract_all(code, F.lit(r"([A-Za-z_][\w.]*)\("), F.lit(1))
-    names = F.regexp_extract_all(code, F.lit(r"([A-Za-z_]\w{2,})"), F.lit(1))
-    out = F.array_distinct(F.filter(F.concat(F.array(F.trim(code), line), quoted, heads, names), lambda x: x != ""))
-    return F.transform(F.array_sort(F.transform(out, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("v")))), lambda x: x["v"])
+    whole = F.trim(code)
+    parts = F.when(F.contains(whole, F.lit(",")), F.transform(F.split(whole, ","), lambda x: F.regexp_replace(F.trim(x), "^[\"'`]+|[\"'`]+$", "")))
+    after = F.when(F.contains(whole, F.lit("=")), F.array(F.trim(F.regexp_replace(whole, r"(?s)^[^=]*=", ""))))
+    calls = F.regexp_extract_all(whole, F.lit(r"[A-Za-z_][\w.]*\s*\([^)]*\)"), F.lit(0))
+    names = F.regexp_extract_all(whole, F.lit(r"[A-Za-z_][\w.]*"), F.lit(0))
+    none = F.array().cast("array<string>")
+    every = F.transform(F.concat(F.array(whole), F.coalesce(parts, none), F.coalesce(after, none), calls, names), lambda x: F.trim(x))
+    kept = F.filter(F.array_distinct(every), lambda x: (F.length(x) > 2) & ~(F.upper(x).isin(*PLAIN_WORDS) & (F.length(x) < F.length(whole))))
+    ordered = F.array_sort(F.transform(kept, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("v"))))
+    return F.transform(ordered, lambda x: x["v"])
 
 
 def occurrences(text: Column, word: str) -> Column:

@@ -86,21 +86,26 @@ def method_details(g: Graph, full_name: str) -> DataFrame:
 def method_calls(g: Graph) -> DataFrame:
     """src, dst, line: method calls method, by resolved call, method reference or nested lambda.
 
-    A callee that is external is bound to internal methods of the same class and name,
-    or of the same name.  Module bodies in between are passed through.
+    An external callee ``package:Class:name`` stands for the internal methods of that class
+    and name; one without a class for those of its name.  A call site whose callee has
+    none keeps the external one.  Module bodies in between are passed through.
     """
-    sites = g.label("CALL").where(~is_operator(F.col("name"))).select("id", F.col("method_id").alias("src"), "line", "name", "method_full_name")
+    sites = g.label("CALL").where(~is_operator(F.col("name"))).select(F.col("id").alias("call"), F.col("method_id").alias("src"), "line")
     methods = g.label("METHOD").select("id", "name", "full_name", F.coalesce("is_external", F.lit(False)).alias("external"))
-    direct = sites.join(g.links("CALL").select(F.col("src").alias("id"), F.col("dst")), "id")
-    target = methods.select(F.col("id").alias("dst"), "external", F.col("name").alias("callee"))
+    direct = sites.join(g.links("CALL").select(F.col("src").alias("call"), F.col("dst")), "call")
+    parts = F.split(F.coalesce("full_name", F.lit("")), ":")
+    owner = F.when(F.size(parts) > 1, F.concat_ws(":", F.element_at(parts, -2), F.element_at(parts, -1)))
+    target = methods.select(F.col("id").alias("dst"), "external", F.when(F.size(parts) > 1, F.element_at(parts, -1)).otherwise(F.col("name")).alias("callee"), owner.alias("owner"))
     direct = direct.join(target, "dst")
-    inner = methods.where("not external").select(F.col("id").alias("inner"), F.col("name").alias("callee"))
-    bound = direct.where("external").join(inner, "callee").select("src", F.col("inner").alias("dst"), "line")
-    unbound = direct.join(bound.select("src", "line").distinct().withColumn("b", F.lit(True)), ["src", "line"], "left").where("not external or b is null").select("src", "dst", "line")
+    inner = methods.where("not external").select(F.col("id").alias("inner"), F.col("name").alias("callee"), F.col("full_name").alias("inner_name"))
+    # few external methods have internal namesakes: those pairs are found once, not for each call
+    stands = target.where("external").join(inner, "callee").where("owner is null or endswith(inner_name, owner)").select("dst", "inner")
+    answered = direct.where("external").join(stands, "dst", "left").select("src", F.coalesce("inner", "dst").alias("dst"), "line")
+    unbound = direct.where("not external").select("src", "dst", "line")
     refs = g.label("METHOD_REF").select(F.col("method_id").alias("src"), F.col("method_full_name").alias("full_name"), "line").join(methods.select(F.col("id").alias("dst"), "full_name"), "full_name").select("src", "dst", "line")
     lambdas = g.label("METHOD").where(F.col("name").startswith("<lambda>"))
     nested = descendants(g, g.label("METHOD")).join(lambdas.select("id"), "id", "left_semi").select(F.col("ancestor").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("int").alias("line"))
-    out = unbound.unionByName(bound).unionByName(refs).unionByName(nested)
+    out = unbound.unionByName(answered).unionByName(refs).unionByName(nested)
     return out.groupBy("src", "dst").agg(F.min("line").alias("line"))
 
 
@@ -214,6 +219,16 @@ def _argument_traces(g: Graph) -> DataFrame:
     return hits.where(~F.lower("param").isin(*_NOISY)).groupBy("_src", "_dst").agg(F.array_sort(F.collect_set(shown)).alias("traces"))
 
 
+def security_summary(tree: DataFrame) -> DataFrame:
+    """category, sink, entries: by category and categorised method the distinct roots that reach it, as name and file.
+
+    tree: rows of ``call_graph`` with heuristics; the roots' own rows name them.
+    """
+    roots = tree.where("depth = 0").select("root", F.concat("name", F.lit(" ("), F.coalesce("file", F.lit("")), F.lit(")")).alias("entry"))
+    hits = tree.where("category is not null").select("root", "category", F.col("full_name").alias("sink")).distinct()
+    return hits.join(roots, "root").groupBy("category", "sink").agg(F.array_sort(F.collect_set("entry")).alias("entries"))
+
+
 def interesting_counts(tree: DataFrame) -> DataFrame:
     """root and its number of categorised rows, most first."""
     return tree.groupBy("root").agg(F.count_if(F.col("category").isNotNull()).alias("interesting")).orderBy(F.col("interesting").desc(), "root")

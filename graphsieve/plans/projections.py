@@ -98,6 +98,36 @@ def trade(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(nodes, edges, root="")
 
 
+def programs(spark: SparkSession, sf_dir: str) -> Graph:
+    """A method for each customer with its segment as parameter, a call for each order.
+
+    Calls go to external methods by status; ``P`` has an internal one of its class, ``O``
+    a namesake in another class.  Every second order passes the parameter on, the others
+    something else; urgent ones return; customers of the first nations are annotated.
+    """
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").join(c.select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
+    ck, ok, owner, even = F.col("c_custkey"), F.col("o_orderkey"), SPAN + F.col("o_custkey"), F.col("o_orderkey") % 2 == 0
+    methods = c.select((SPAN + ck).alias("id"), F.lit("METHOD").alias("label"), F.col("c_name").alias("name"), F.concat(F.lit("app:"), "c_mktsegment", F.lit(":"), "c_name").alias("full_name"), F.col("c_mktsegment").alias("filename"), F.lit(False).alias("is_external"))
+    others = spark.createDataFrame([(9 * SPAN + 1, "F", "sys:Order:F", True), (9 * SPAN + 2, "O", "sys:Order:O", True), (9 * SPAN + 3, "P", "sys:Order:P", True), (8 * SPAN + 1, "P", "app:Order:P", False), (8 * SPAN + 2, "O", "app:Other:O", False)], "id long, name string, full_name string, is_external boolean").withColumn("label", F.lit("METHOD"))
+    params = c.select((2 * SPAN + ck).alias("id"), F.lit("METHOD_PARAMETER_IN").alias("label"), F.col("c_mktsegment").alias("name"), (SPAN + ck).alias("method_id"), F.lit(1).alias("ord"))
+    calls = o.select((3 * SPAN + ok).alias("id"), F.lit("CALL").alias("label"), F.col("o_orderstatus").alias("name"), F.concat(F.lit("order."), "o_orderstatus").alias("method_full_name"), F.lower("o_orderpriority").alias("code"), owner.alias("method_id"), (ok % 7).cast("int").alias("line"))
+    returns = o.where("o_orderpriority = '1-URGENT'").select((4 * SPAN + ok).alias("id"), F.lit("RETURN").alias("label"), F.col("o_orderstatus").alias("code"), owner.alias("method_id"))
+    notes = c.where("c_nationkey < 5").select((5 * SPAN + ck).alias("id"), F.lit("ANNOTATION").alias("label"), F.col("c_mktsegment").alias("name"), F.concat(F.lit("@"), "c_mktsegment").alias("code"))
+    passed = o.select((6 * SPAN + ok).alias("id"), F.lit("IDENTIFIER").alias("label"), F.when(even, F.col("c_mktsegment")).otherwise("x").alias("name"), owner.alias("method_id"))
+    nodes = methods
+    for df in (others, params, calls, returns, notes, passed):
+        nodes = nodes.unionByName(df, allowMissingColumns=True)
+
+    def edge(df: DataFrame, src, dst, label: str, idx: int | None = None) -> DataFrame:
+        return df.select(src.cast("long").alias("src"), dst.cast("long").alias("dst"), F.lit(label).alias("label"), F.lit(idx).cast("int").alias("idx"))
+
+    target = F.when(F.col("o_orderstatus") == "F", 9 * SPAN + 1).when(F.col("o_orderstatus") == "O", 9 * SPAN + 2).otherwise(9 * SPAN + 3)
+    edges = edge(o, 3 * SPAN + ok, target, "CALL").unionByName(edge(o, 3 * SPAN + ok, 6 * SPAN + ok, "ARGUMENT", 1))
+    edges = edges.unionByName(edge(o.where(even), 6 * SPAN + ok, 2 * SPAN + F.col("o_custkey"), "REF")).unionByName(edge(o.where(even), 2 * SPAN + F.col("o_custkey"), 6 * SPAN + ok, "DDG"))
+    return Graph(nodes, edges.unionByName(edge(c.where("c_nationkey < 5"), SPAN + ck, 5 * SPAN + ck, "ANNOTATED_BY")), root="")
+
+
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, hrefs of web pages: controller and action of an endpoint."""
     p = table(spark, sf_dir, "pages")

@@ -16,7 +16,7 @@ from ..operators import analyses as A
 from ..operators import findings as D
 from ..operators import regions, scoring
 from ..operators.closure import flow_edges, flows, reach
-from ..operators.patterns import Call, Field, Identifier, Literal, Method, Var
+from ..operators.patterns import Any, Call, Field, Identifier, Literal, Method, Parameter, Return, Var
 from ..operators.query import Query, execute
 from ..rules import scoring as words
 from . import projections as P
@@ -416,7 +416,13 @@ def q_interpolated(spark, sf):
     return e.select("event_id", F.array_join(X.interpolated(braces), ",").alias("names"))
 
 
-@register(None)
+@register(r"""WITH p AS (SELECT DISTINCT props, trim(props) AS c FROM events),
+ l AS (SELECT props, c, list_concat([c], CASE WHEN contains(c, ',') THEN list_transform(string_split(c, ','), lambda x: regexp_replace(trim(x), '^["''`]+|["''`]+$', '', 'g')) ELSE [] END,
+  CASE WHEN contains(c, '=') THEN [trim(substr(c, strpos(c, '=') + 1))] ELSE [] END, regexp_extract_all(c, '[A-Za-z_][\w.]*\s*\([^)]*\)'), regexp_extract_all(c, '[A-Za-z_][\w.]*')) AS v FROM p),
+ t AS (SELECT props, c, list_transform(v, lambda x: trim(x)) AS v FROM l),
+ u AS (SELECT props, c, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM t),
+ d AS (SELECT props, c, x, min(i) AS i FROM u WHERE length(x) > 2 AND NOT (upper(x) IN ('SELECT', 'FROM', 'WHERE', 'AND', 'OR', 'LIKE', 'ORDER', 'BY', 'LIMIT', 'INSERT', 'INTO', 'VALUES', 'UPDATE', 'SET', 'DELETE', 'NULL', 'IS') AND length(x) < length(c)) GROUP BY 1, 2, 3)
+ SELECT props, string_agg(x, '|' ORDER BY -length(x), i) AS candidates FROM d GROUP BY 1""")
 def q_candidates(spark, sf):
     e = P.table(spark, sf, "events").select("props").distinct()
     return e.select("props", F.array_join(X.candidates(F.col("props")), "|").alias("candidates"))
@@ -451,9 +457,119 @@ def q_raw_sql(spark, sf):
     return P.events(spark, sf).sql("SELECT count(*) AS calls FROM {nodes} WHERE label = 'CALL' AND name = 'error'")
 
 
-@register(f"""WITH {ORDERED} SELECT a.event_id AS source_id, b.event_id AS sink_id FROM e a JOIN e b ON a.user_id = b.user_id AND b.pos = a.pos + 1 WHERE a.event_type = 'error' AND b.event_type = 'error'""")
+@register(f"""WITH {ORDERED}, n AS (SELECT *, count(*) FILTER (event_type IN ('purchase', 'signup', 'view')) OVER (PARTITION BY user_id ORDER BY pos) AS walls FROM e)
+ SELECT a.event_id AS source_id, b.event_id AS sink_id, b.pos - a.pos AS depth FROM n a JOIN n b ON a.user_id = b.user_id AND a.walls = b.walls AND b.pos > a.pos WHERE a.event_type = 'click' AND b.event_type = 'error'""")
 def q_flow_fixpoint(spark, sf):
-    """Flows by the semi-naive loop: errors that errors follow at once, all other events blocked."""
+    """Flows by the semi-naive loop, however long: from a click to an error, no event of other types on the way."""
     g = P.events(spark, sf, chain=False)
-    found = flows(g, Call(name="error").ids(g), Call(name="error").ids(g), Call(name="(click|purchase|signup|view)").ids(g), strict=True)
-    return found.where("depth = 1").select("source", "sink").withColumnsRenamed({"source": "source_id", "sink": "sink_id"})
+    found = flows(g, Call(name="click").ids(g), Call(name="error").ids(g), Call(name="(purchase|signup|view)").ids(g), strict=True)
+    return found.select(F.col("source").alias("source_id"), F.col("sink").alias("sink_id"), F.col("depth").cast("long").alias("depth"))
+
+
+# ------------------------------------------------------------------ programs
+_S = P.SPAN
+_CALLED = f"SELECT {_S} + o_custkey AS src, CASE o_orderstatus WHEN 'F' THEN {9 * _S + 1} WHEN 'O' THEN {9 * _S + 2} ELSE {8 * _S + 1} END AS dst, o_orderkey % 7 AS line FROM orders"
+_SINKS = (A.Heuristic("Done", ("sys:Order:F",), 10, ()), A.Heuristic("Pending", ("app:Order:P",), 5, ()))
+
+
+@register(f"SELECT src, dst, CAST(min(line) AS BIGINT) AS line FROM ({_CALLED}) GROUP BY 1, 2")
+def q_method_calls(spark, sf):
+    """Call edges between methods; an external callee stands for the internal one of its class."""
+    return A.method_calls(P.programs(spark, sf)).select("src", "dst", F.col("line").cast("long").alias("line"))
+
+
+_TREE = f"""SELECT {_S} + c_custkey AS root, {_S} + c_custkey AS node, 0 AS depth, NULL AS category FROM customer
+ UNION ALL SELECT DISTINCT src, dst, 1, CASE dst WHEN {9 * _S + 1} THEN 'Done' ELSE 'Pending' END FROM ({_CALLED}) WHERE dst <> {9 * _S + 2}"""
+
+
+def _tree(spark, sf, **options):
+    return A.call_graph(P.programs(spark, sf), ".*Customer#.*", depth=3, heuristics=_SINKS, **options)
+
+
+@register(f"SELECT root, node, CAST(depth AS BIGINT) AS depth, category FROM ({_TREE})")
+def q_call_graph(spark, sf):
+    return _tree(spark, sf).select("root", "node", F.col("depth").cast("long").alias("depth"), "category")
+
+
+@register(f"SELECT root, node, CAST(depth AS BIGINT) AS depth, category FROM ({_TREE}) WHERE root IN (SELECT root FROM ({_TREE}) WHERE depth = 1)")
+def q_call_graph_interesting(spark, sf):
+    """Only roots and branches from which a category is reached."""
+    return _tree(spark, sf, interesting_only=True).select("root", "node", F.col("depth").cast("long").alias("depth"), "category")
+
+
+@register(f"""SELECT category, CASE category WHEN 'Done' THEN 'sys:Order:F' ELSE 'app:Order:P' END AS sink, count(DISTINCT c_name) AS entries, min(c_name || ' (' || c_mktsegment || ')') AS first_entry
+ FROM ({_TREE}) JOIN customer ON root = {_S} + c_custkey WHERE depth = 1 GROUP BY 1""")
+def q_security_summary(spark, sf):
+    out = A.security_summary(_tree(spark, sf))
+    return out.select("category", "sink", F.size("entries").cast("long").alias("entries"), F.get("entries", F.lit(0)).alias("first_entry"))
+
+
+@register(f"SELECT root, CAST(count(*) FILTER (depth = 1) AS BIGINT) AS interesting FROM ({_TREE}) GROUP BY 1")
+def q_interesting_counts(spark, sf):
+    return A.interesting_counts(_tree(spark, sf)).select("root", F.col("interesting").cast("long").alias("interesting"))
+
+
+@register(f"SELECT {9 * _S + 1} AS id, 0 AS distance UNION ALL SELECT {8 * _S + 1}, 0 UNION ALL SELECT DISTINCT src, 1 FROM ({_CALLED}) WHERE dst <> {9 * _S + 2}")
+def q_sink_distance(spark, sf):
+    return A.sink_distance(P.programs(spark, sf), _SINKS).select("id", F.col("distance").cast("long").alias("distance"))
+
+
+_F = f"f AS (SELECT o_orderkey, o_custkey, o_orderkey % 2 = 0 AS even FROM orders WHERE o_orderstatus = 'F')"
+
+
+@register(f"""WITH {_F} SELECT {3 * _S} + o_orderkey AS id, true AS is_sink, false AS is_origin, false AS is_param_use FROM f
+ UNION ALL SELECT {6 * _S} + o_orderkey, false, even, even FROM f UNION ALL SELECT DISTINCT {2 * _S} + o_custkey, false, true, false FROM f""")
+def q_data_flow_slice(spark, sf):
+    nodes, _ = A.data_flow_slice(P.programs(spark, sf), "F", 3)
+    return nodes.select("id", "is_sink", "is_origin", "is_param_use")
+
+
+@register(f"""WITH {_F} SELECT {6 * _S} + o_orderkey AS src, {3 * _S} + o_orderkey AS dst FROM f UNION ALL SELECT {2 * _S} + o_custkey, {6 * _S} + o_orderkey FROM f WHERE even""")
+def q_data_flow_slice_edges(spark, sf):
+    return A.data_flow_slice(P.programs(spark, sf), "F", 3)[1].select("src", "dst")
+
+
+@register(f"""SELECT {2 * _S} + c_custkey AS object, c_mktsegment AS name, count(*) AS calls, string_agg(DISTINCT o_orderstatus || '1', ',' ORDER BY o_orderstatus || '1') AS passed_to
+ FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 2 = 0 GROUP BY 1, 2 HAVING count(*) >= 2""")
+def q_usage_slice(spark, sf):
+    out = A.usage_slice(P.programs(spark, sf), 2)
+    return out.select("object", "name", "calls", F.array_join(F.transform("passed_to", lambda x: F.concat(x["callee"], x["position"].cast("string"))), ",").alias("passed_to"))
+
+
+@register(f"SELECT {2 * _S} + c_custkey AS id FROM customer WHERE regexp_matches(c_mktsegment, '^(BUILD|AUTO).*')")
+def q_scan_parameter(spark, sf):
+    return _ids(P.programs(spark, sf), Parameter("(BUILD|AUTO).*"))
+
+
+@register(f"SELECT {4 * _S} + o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'")
+def q_scan_return(spark, sf):
+    return _ids(P.programs(spark, sf), Return())
+
+
+@register(f"SELECT {_S} + c_custkey AS id FROM customer WHERE c_name LIKE '%7' AND c_mktsegment = 'MACHINERY'")
+def q_scan_method(spark, sf):
+    """By name and parameter."""
+    return _ids(P.programs(spark, sf), Method(name=".*7", parameter="MACHINERY"))
+
+
+@register(f"SELECT {_S} + c_custkey AS id FROM customer WHERE c_nationkey < 5 AND c_mktsegment LIKE 'H%'")
+def q_scan_annotated_method(spark, sf):
+    return _ids(P.programs(spark, sf), Method(annotation="H.*"))
+
+
+_EXPRESSIONS = f"""SELECT {3 * _S} + o_orderkey AS id FROM orders UNION ALL SELECT {4 * _S} + o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT {6 * _S} + o_orderkey FROM orders"""
+
+
+@register(f"{_EXPRESSIONS} UNION ALL SELECT {2 * _S} + c_custkey FROM customer")
+def q_scan_expression(spark, sf):
+    return _ids(P.programs(spark, sf), Var("$X"))
+
+
+@register(f"""{_EXPRESSIONS} UNION ALL SELECT {_S} + c_custkey FROM customer UNION ALL SELECT {2 * _S} + c_custkey FROM customer UNION ALL SELECT {5 * _S} + c_custkey FROM customer WHERE c_nationkey < 5
+ UNION ALL SELECT unnest([{9 * _S + 1}, {9 * _S + 2}, {9 * _S + 3}, {8 * _S + 1}, {8 * _S + 2}])""")
+def q_scan_all(spark, sf):
+    return _ids(P.programs(spark, sf), Any())
+
+
+def _ids(g, pattern):
+    return pattern.ids(g).select("id").distinct()

@@ -36,7 +36,7 @@ def one(spark, value, make):
         (X.is_literal_code, "x", False),
         (X.short_method, "f.py:A.b(int)", "A.b"),
         (X.token_estimate, "abcde", 2),
-        (X.candidates, 'run("some text", name)\nmore', ['run("some text", name)\nmore', 'run("some text", name)', "some text", "name", "more", "some", "text", "run"]),
+        (X.candidates, 'run("some text", name)\nmore', ['run("some text", name)\nmore', 'run("some text", name)', 'run("some text', "name)\nmore", "some", "text", "name", "more", "run"]),
     ],
 )
 def test_scalar(spark, make, value, want):

@@ -91,3 +91,18 @@ def test_predicates_on_columns_need_no_join(g):
 def test_search_bindings(g):
     rows = execute(g, Query.source(Call(name="run", args=["$A"]))).collect()
     assert sorted((r["node_id"], r["bindings"]["$A"]) for r in rows) == [(1, '"ls"'), (4, "x")]
+
+
+def test_calls_on_one_line_are_bound_each_for_itself(spark):
+    """An external callee stands for the internal ones of its class; another on the same line stays."""
+    from graphsieve.graph import Graph
+    from graphsieve.operators.analyses import method_calls, security_summary
+
+    method = lambda i, name, full, external=False: {"id": i, "label": "METHOD", "name": name, "full_name": full, "is_external": external}
+    nodes = [method(1, "main", "app:Main:main"), method(2, "get", "app:Store:get"), method(3, "put", "lib:Other:put", True), method(4, "get", "lib:Store:get", True), method(5, "get", "app:Cache:get"), method(6, "run", "run", True), method(7, "run", "app:Job:run")]
+    nodes += [{"id": 10 + k, "label": "CALL", "name": "c", "method_id": 1, "line": line} for k, line in enumerate((3, 3, None, None))]
+    edges = [(10, 4, "CALL"), (11, 3, "CALL"), (12, 6, "CALL"), (13, 3, "CALL")]
+    got = {(r["src"], r["dst"]): r["line"] for r in method_calls(Graph.of_rows(spark, nodes, edges)).collect()}
+    assert got == {(1, 2): 3, (1, 3): 3, (1, 7): None}
+    tree = spark.createDataFrame([(1, 1, 0, None, "main", "m", "a.py"), (1, 2, 1, "Run", "x", "sys", None), (1, 3, 2, "Run", "x", "sys", None)], "root long, node long, depth int, category string, name string, full_name string, file string")
+    assert [tuple(r) for r in security_summary(tree).collect()] == [("Run", "sys", ["main (a.py)"])]
