@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import functions as F
 
 from .engine import LANGUAGES, Engine
 from .operators.endpoints import render
@@ -103,7 +104,7 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
             if a.usages:
                 print(usage_text(e.usage_slice()))
         elif a.command == "discover":
-            for r in e.discover_wrappers(a.language).collect():
+            for r in e.discover_wrappers(a.language).orderBy(F.col("score").desc(), "full_name").collect():
                 print(f"{r['score']:3} {r['full_name']} ({r['file']}:{r['line']}) " + ", ".join(f"{c['category']}: {c['full_name']}" for c in r["calls"]))
             for r in e.api_summary().orderBy("module").collect():
                 print(f"{r['module']}: {', '.join(r['names'])}")
@@ -120,7 +121,7 @@ def main(argv: list[str] | None = None, engine: Engine | None = None) -> int:
             for r in e.method_details(a.full_name).collect():
                 print(f"{r['full_name']} ({r['file']}:{r['line']})\n  parameters: {[p['name'] for p in r['params'] or []]}\n  calls: {[c['full_name'] for c in r['calls_out'] or []]}\n  callers: {r['callers'] or []}\n{r['code']}")
         elif a.command == "find-calls":
-            rows = e.find_calls(a.pattern)
+            rows = e.find_calls(a.pattern).orderBy("file", F.col("line").asc_nulls_last(), "name")
             if a.grouped:
                 for r in group_codes(rows).orderBy("full_name").collect():
                     print(f"{r['full_name']} ({r['calls']}): " + " | ".join(r["codes"]))

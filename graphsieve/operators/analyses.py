@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import any_match, first_category, full_match, is_operator, noise
 from ..graph import Graph
 from ..storage import Scratch
-from .closure import backward, flow_edges, reach
+from .closure import backward, flow_edges, flows, reach
 from .dominance import control_conditions, descendants
 from .patterns import Pattern
 
@@ -52,11 +52,11 @@ def list_methods(g: Graph, pattern: str = ".*", internal_only: bool = False, fil
 
 
 def find_calls(g: Graph, pattern: str) -> DataFrame:
-    """name, full_name, caller, code, file, line of matching call sites, by file and line."""
+    """name, full_name, caller, code, file, line of matching call sites; whoever shows them sorts."""
     calls = g.label("CALL").where((full_match("name", pattern) | full_match("method_full_name", pattern)) & ~is_operator(F.col("name")))
     callers = g.label("METHOD").select(F.col("id").alias("method_id"), F.col("full_name").alias("caller"))
     out = calls.join(callers, "method_id", "left")
-    return out.select("name", F.col("method_full_name").alias("full_name"), F.coalesce("caller", F.lit("<unknown>")).alias("caller"), "code", F.col("filename").alias("file"), "line").orderBy("file", F.col("line").asc_nulls_last(), "name")
+    return out.select("name", F.col("method_full_name").alias("full_name"), F.coalesce("caller", F.lit("<unknown>")).alias("caller"), "code", F.col("filename").alias("file"), "line")
 
 
 def api_summary(g: Graph) -> DataFrame:
@@ -213,7 +213,8 @@ def _argument_traces(g: Graph) -> DataFrame:
     sites = g.label("CALL").select(F.col("id").alias("call"), F.col("method_id").alias("_src")).join(g.links("CALL").select(F.col("src").alias("call"), F.col("dst").alias("_dst")), "call")
     args = g.argument().where("idx > 0").join(sites, "call").join(g.nodes.where("label <> 'LITERAL'").select(F.col("id").alias("arg"), F.col("code").alias("what")), "arg")
     params = g.label("METHOD_PARAMETER_IN").select(F.col("id").alias("root"), F.col("name").alias("param"), F.col("method_id").alias("_src"))
-    found = reach(flow_edges(g), params.select("root", F.col("root").alias("node"))).select("root", F.col("node").alias("arg"))
+    params = params.join(args.select("_src").distinct(), "_src", "left_semi")
+    found = flows(g, params.select(F.col("root").alias("id")), args.select(F.col("arg").alias("id"))).select(F.col("source").alias("root"), F.col("sink").alias("arg"))
     hits = args.join(found, "arg").join(params, ["root", "_src"])
     shown = F.concat(F.lit("arg: "), "what", F.lit(" <- param: "), "param")
     return hits.where(~F.lower("param").isin(*_NOISY)).groupBy("_src", "_dst").agg(F.array_sort(F.collect_set(shown)).alias("traces"))
@@ -230,8 +231,8 @@ def security_summary(tree: DataFrame) -> DataFrame:
 
 
 def interesting_counts(tree: DataFrame) -> DataFrame:
-    """root and its number of categorised rows, most first."""
-    return tree.groupBy("root").agg(F.count_if(F.col("category").isNotNull()).alias("interesting")).orderBy(F.col("interesting").desc(), "root")
+    """root and its number of categorised rows."""
+    return tree.groupBy("root").agg(F.count_if(F.col("category").isNotNull()).alias("interesting"))
 
 
 def sink_distance(g: Graph, heuristics: Sequence[Heuristic], most: int = 12) -> DataFrame:
@@ -283,7 +284,7 @@ def usage_slice(g: Graph, min_calls: int = 1, exclude_operators: bool = True) ->
 
 # ------------------------------------------------------------------ wrappers
 def discover_wrappers(g: Graph, heuristics: Sequence[Heuristic]) -> DataFrame:
-    """Internal methods of which a parameter reaches an argument of a categorised call, by score.
+    """Internal methods of which a parameter reaches an argument of a categorised call, with their score.
 
     A call's score is its category's weight, and 5 more if a tainting parameter has a
     suspicious name; a method's is that of its best call.
@@ -292,8 +293,10 @@ def discover_wrappers(g: Graph, heuristics: Sequence[Heuristic]) -> DataFrame:
     calls = g.label("CALL").withColumn("category", first_category("method_full_name", heuristics)).where("category is not null")
     args = g.argument().where("idx > 0").join(calls.select(F.col("id").alias("call"), "category", "name", "method_full_name", "method_id"), "call")
     params = g.label("METHOD_PARAMETER_IN").join(methods.select(F.col("id").alias("method_id")), "method_id", "left_semi")
-    found = reach(flow_edges(g), params.select(F.col("id").alias("root"), F.col("id").alias("node")))
-    tainted = args.join(found.select(F.col("node").alias("arg"), F.col("root").alias("param")), "arg").join(params.select(F.col("id").alias("param"), F.col("name").alias("tainted_by"), F.col("method_id").alias("owner")), "param").where("owner = method_id")
+    # only parameters of methods with such a call can taint one
+    starts = params.join(args.select("method_id").distinct(), "method_id", "left_semi").select("id")
+    found = flows(g, starts, args.select(F.col("arg").alias("id")))
+    tainted = args.join(found.select(F.col("sink").alias("arg"), F.col("source").alias("param")), "arg").join(params.select(F.col("id").alias("param"), F.col("name").alias("tainted_by"), F.col("method_id").alias("owner")), "param").where("owner = method_id")
     weight, risky = F.lit(5), F.lit(False)
     for h in heuristics:
         weight = F.when(F.col("category") == h.category, h.weight).otherwise(weight)
@@ -304,7 +307,7 @@ def discover_wrappers(g: Graph, heuristics: Sequence[Heuristic]) -> DataFrame:
     per = per_call.groupBy("method_id").agg(F.max("score").alias("score"), F.array_sort(F.collect_list(one)).alias("calls"))
     names = params.groupBy("method_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda p: p["name"]).alias("params"))
     out = per.join(methods.select(F.col("id").alias("method_id"), "name", "full_name", F.col("filename").alias("file"), F.coalesce("line", F.lit(-1)).alias("line")), "method_id")
-    return out.join(names, "method_id", "left").orderBy(F.col("score").desc(), "full_name")
+    return out.join(names, "method_id", "left")
 
 
 def category_evidence(rows: DataFrame, key: str, category: Column, evidence: Column, most: int = 3) -> DataFrame:

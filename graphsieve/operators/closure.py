@@ -16,12 +16,13 @@ from ..storage import Scratch
 FLOW = ("DDG", "REACHING_DEF")
 
 
-def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, blocked: DataFrame | None = None, trace: bool = False) -> DataFrame:
+def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, blocked: DataFrame | None = None, trace: bool = False, within: DataFrame | None = None) -> DataFrame:
     """root, node, depth (and path) of all pairs, the root itself at depth 0.
 
     edges: src, dst. starts: root, node, and optionally grp, which then is a column of the
     result: groups share the rounds and differ in what is blocked. blocked: id (and grp)
-    of nodes that no path may touch. A null depth runs to the fixpoint.
+    of nodes that no path may touch. within: id (and grp) of the only nodes that paths may
+    touch, as ``towards`` gives them. A null depth runs to the fixpoint.
     """
     scratch = Scratch(starts.sparkSession, "reach")
     key = [c for c in ("grp", "root") if c in starts.columns]
@@ -33,6 +34,12 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, blocked
         starts = starts.join(blocked, on, "left_anti")
         if not grouped:
             edges = edges.join(blocked.select(F.col("node").alias("dst")), "dst", "left_anti")
+    narrow = within is not None and "grp" in within.columns
+    if within is not None:
+        within = scratch.save(within.withColumnRenamed("id", "node").distinct(), "within")
+        starts = starts.join(within, ["grp", "node"] if narrow else ["node"], "left_semi")
+        if not narrow:
+            edges = edges.join(within.select(F.col("node").alias("dst")), "dst", "left_semi")
     hops = scratch.save(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).distinct(), "edges")
     frontier = starts.withColumn("depth", F.lit(0))
     if trace:
@@ -49,6 +56,8 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, blocked
             new = step.select(*key, F.col("next").alias("node")).distinct()
         if grouped:
             new = new.join(blocked, ["grp", "node"], "left_anti")
+        if narrow:
+            new = new.join(within, ["grp", "node"], "left_semi")
         new = new.join(known.select(*key, "node"), [*key, "node"], "left_anti").withColumn("depth", F.lit(k))
         frontier = scratch.save(new.select(known.columns), f"round{k}")
         if frontier.isEmpty():
@@ -59,6 +68,18 @@ def reach(edges: DataFrame, starts: DataFrame, depth: int | None = None, blocked
     return known
 
 
+def towards(edges: DataFrame, ends: DataFrame, blocked: DataFrame | None = None) -> DataFrame:
+    """id (and grp) of the nodes from which a clean path leads to an end, the ends included.
+
+    One set for all ends (of a group), so it grows with the nodes and not with pairs.
+    ends: id (and grp).
+    """
+    key = [c for c in ("grp",) if c in ends.columns]
+    starts = ends.select(*key, F.lit(0).cast("long").alias("root"), F.col("id").alias("node"))
+    found = reach(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")), starts, blocked=blocked)
+    return found.select(*key, F.col("node").alias("id"))
+
+
 def flow_edges(g: Graph) -> DataFrame:
     return g.links(*FLOW).select("src", "dst")
 
@@ -67,11 +88,13 @@ def flows(g: Graph, sources: DataFrame, sinks: DataFrame, blocked: DataFrame | N
     """source, sink, depth (and path): a clean path leads from one to the other.
 
     sources, sinks: id.  strict leaves out a node that is both ends of an empty path.
-    An empty side costs no rounds.
+    An empty side costs no rounds.  Nodes that lead to no sink leave first: pairs are kept
+    only on the way to one.
     """
     if g.chain is not None:
         return _chain_flows(g, sources, sinks, blocked, strict)
-    pairs = reach(flow_edges(g), sources.select(F.col("id").alias("root"), F.col("id").alias("node")), blocked=blocked, trace=trace)
+    edges = flow_edges(g)
+    pairs = reach(edges, sources.select(F.col("id").alias("root"), F.col("id").alias("node")), trace=trace, within=towards(edges, sinks, blocked))
     out = pairs.join(sinks.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
     out = out.where("depth > 0") if strict else out
     return out.withColumnsRenamed({"root": "source", "node": "sink"})

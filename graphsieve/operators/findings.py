@@ -87,18 +87,22 @@ def group_simple(methods: DataFrame) -> DataFrame:
 def budget_prefix(files: DataFrame, budget: int, used: int = 0) -> DataFrame:
     """Files in order of score and path until the first would overflow the budget.
 
-    files: path, score, tokens.  Totals a range of scores come first, so only the rows of
-    the range in which the budget ends are summed in order.
+    files: path, score, tokens.  The order is cut into ranges of score and path, so files
+    of one score share no task; totals of ranges come first, and ranges beyond the budget
+    are not summed in order.
     """
     from ..storage import Scratch
 
     # scores may be costly to compute: they are written once, the other columns join at the end
-    small = Scratch(files.sparkSession, "budget").save(files.select("path", "score", "tokens"), "scores")
-    by_score = small.groupBy("score").agg(F.sum("tokens").alias("n"))
-    before = by_score.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    edge = before.where(F.col("before") + used < budget)  # scores are few: they are small integers
-    w = Window.partitionBy("score").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    out = small.join(edge.select("score", "before"), "score").withColumn("used", F.col("before") + F.sum("tokens").over(w) + used)
+    scratch = Scratch(files.sparkSession, "budget")
+    scores = scratch.save(files.select("path", "score", "tokens"), "scores")
+    order = (F.col("score").desc(), F.col("path"))
+    small = scratch.save(scores.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = small.groupBy("_range").agg(F.sum("tokens").alias("n"))  # one row a partition
+    before = totals.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    edge = before.where(F.col("before") + used <= budget)
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = small.join(edge.select("_range", "before"), "_range").withColumn("used", F.col("before") + F.sum("tokens").over(w) + used)
     chosen = out.where(F.col("used") <= budget).select("path", "score", "tokens", "used")
     others = [c for c in files.columns if c not in ("score", "tokens")]
     return chosen if others == ["path"] else files.select(*others).join(chosen, "path")

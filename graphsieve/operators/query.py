@@ -113,6 +113,20 @@ def _unify(df: DataFrame, names: Sequence[str], sides: Sequence[str], new: str)
     return df
 
 
+def _nearest(g: Graph, q: Query, current: DataFrame, bound: Sequence[str]) -> DataFrame:
+    """Between two legs: one row for each source, place and bindings.
+
+    Where flows are paths the nearest place stands for all later ones, as what follows
+    those follows it too; a trace names the places, so there all stay.
+    """
+    key = ["source_id", *[F.col(f"`{b}`") for b in bound]]
+    if g.chain is not None and not q.trace:
+        best = current.groupBy(*key).agg(F.min(F.struct("depth", "path", "at")).alias("best"))
+    else:
+        best = current.groupBy(*key, F.col("at").alias("place")).agg(F.min(F.struct("depth", "path", "at")).alias("best"))
+    return best.select("source_id", "best.at", "best.depth", "best.path", *[F.col(f"`{b}`") for b in bound])
+
+
 def execute(g: Graph, q: Query) -> DataFrame:
     """Matches with the columns of ``describe``."""
     names = q.variables()
@@ -134,8 +148,13 @@ def execute(g: Graph, q: Query) -> DataFrame:
         current = current.join(leg, "at").join(ends.withColumnRenamed("id", "sink"), "sink")
         current = _unify(current, names, sides, f"@{k}")
         sides.append(f"@{k}")
-        path = F.concat("path", F.slice("leg_path", 2, 1 << 30)) if "leg_path" in leg.columns else F.array_distinct(F.concat("path", F.array("sink")))
+        if not q.trace:
+            path = F.col("path")
+        else:
+            path = F.concat("path", F.slice("leg_path", 2, 1 << 30)) if "leg_path" in leg.columns else F.array_distinct(F.concat("path", F.array("sink")))
         current = current.select("source_id", F.col("sink").alias("at"), (F.col("depth") + F.col("leg")).alias("depth"), path.alias("path"), F.col("owner").alias("sink_owner"), *[F.col(f"`{n}{s}`") for n in names for s in sides])
+        if k < len(q.steps):
+            current = _nearest(g, q, current, [f"{n}{s}" for n in names for s in sides])
     for n in names:
         current = current.withColumn(n, F.coalesce(*[F.col(f"`{n}{s}`") for s in sides]))
         current = current.where(F.col(f"`{n}`").isNull() | (F.col(f"`{n}`") != ""))  # null: this branch does not bind it

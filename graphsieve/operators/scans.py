@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..graph import Graph
 from ..rules.model import Confidence, ScanRule, Severity
 from ..storage import Scratch
-from .closure import flow_edges, reach
+from .closure import flow_edges, reach, towards
 from .findings import deduplicate
 from .query import describe, execute, points, with_trace
 
@@ -69,7 +69,8 @@ def _shared(g: Graph, rules: list[ScanRule], scratch: Scratch, trace: bool) -> l
     starts = scratch.save(reduce(DataFrame.unionByName, sources), "sources")
     ends = scratch.save(reduce(DataFrame.unionByName, sinks), "sinks")
     stop = scratch.save(reduce(DataFrame.unionByName, blocked.values()), "blocked") if blocked else None
-    found = reach(flow_edges(g), starts.select("grp", F.col("id").alias("root"), F.col("id").alias("node")), blocked=stop, trace=trace)
+    edges = flow_edges(g)
+    found = reach(edges, starts.select("grp", F.col("id").alias("root"), F.col("id").alias("node")), trace=trace, within=towards(edges, ends.select("grp", "id"), stop))
     if not trace:
         found = found.withColumn("path", F.lit(None).cast("array<bigint>"))
     hits = found.join(ends.withColumnsRenamed({"id": "node", "bound": "b"}), ["grp", "node"])

@@ -3,7 +3,7 @@
 import random
 
 from graphsieve import Call, Graph, Query
-from graphsieve.operators.closure import flows, reach
+from graphsieve.operators.closure import flows, reach, towards
 from graphsieve.operators.dominance import dominated, immediate_dominators
 from graphsieve.operators.query import execute
 from pyspark.sql import functions as F
@@ -44,6 +44,23 @@ def test_groups_differ_in_what_is_blocked(spark):
     assert got == {(0, 1), (0, 2), (0, 3), (0, 4), (1, 1)}
 
 
+def test_only_what_leads_to_an_end_is_walked(spark):
+    rng = random.Random(8)
+    edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(50)]
+    e = spark.createDataFrame(edges, "src long, dst long")
+    starts = spark.createDataFrame([(g, i, i) for g in (0, 1) for i in range(8)], "grp int, root long, node long")
+    ends = spark.createDataFrame([(g, i) for g in (0, 1) for i in (20, 23, 26)], "grp int, id long")
+    stop = spark.createDataFrame([(1, 4), (1, 11), (1, 23)], "grp int, id long")
+    back = towards(e, ends, stop).collect()
+    got = {(r["grp"], r["root"], r["node"]): (r["depth"], r["path"]) for r in reach(e, starts, trace=True, within=towards(e, ends, stop)).collect()}
+    full = {(r["grp"], r["root"], r["node"]): (r["depth"], r["path"]) for r in reach(e, starts, blocked=stop, trace=True).collect()}
+    for grp, blocked in ((0, ()), (1, (4, 11, 23))):
+        useful = {n for (_, n) in brute([(b, a) for a, b in edges], (20, 23, 26), blocked)}
+        assert {r["id"] for r in back if r["grp"] == grp} == useful
+        assert {k: v for k, v in got.items() if k[0] == grp} == {k: v for k, v in full.items() if k[0] == grp and k[2] in useful}
+    assert 0 < len(got) < len(full)
+
+
 def test_trace_is_a_path(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4)], "src long, dst long")
     rows = reach(e, spark.createDataFrame([(1, 1)], "root long, node long"), trace=True).collect()
@@ -78,7 +95,7 @@ def test_two_barriers_on_branches_do_not_dominate(spark):
 
 def test_positions_agree_with_the_fixpoint(spark):
     rng = random.Random(9)
-    names = [rng.choice("sxkb") for _ in range(40)]
+    names = [*"sxxkbsxbkk", *(rng.choice("sxkb") for _ in range(30))]
     nodes = [{"id": i, "label": "CALL", "name": n, "method_id": i // 10, "code": n} for i, n in enumerate(names)]
     edges = [(i, i + 1, "DDG") for i in range(39) if i % 10 != 9]
     loop = Graph.of_rows(spark, nodes, edges)
@@ -88,8 +105,11 @@ def test_positions_agree_with_the_fixpoint(spark):
     one, two = ({(r["source"], r["sink"], r["depth"]) for r in flows(g, *args).collect()} for g in (loop, fast))
     assert one == two and one
     q = (Query.source(Call(name="s")) >> Call(name="x") >> Call(name="k")).passes_not(Call(name="b"))
-    a, b = ({(r["source_id"], r["node_id"]) for r in execute(g, q).collect()} for g in (loop, fast))
-    assert a == b
+    a, b = ({(r["source_id"], r["node_id"], r["depth"]) for r in execute(g, q).collect()} for g in (loop, fast))
+    assert a == b and a
+    long = Query.source(Call(name="s")) >> Call(name="x") >> Call(name="x|b") >> Call(name="k")
+    a, b = ({(r["source_id"], r["node_id"], r["depth"]) for r in execute(g, long).collect()} for g in (loop, fast))
+    assert a == b and a
 
 
 def test_empty_graph(spark):

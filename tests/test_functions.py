@@ -80,6 +80,17 @@ def test_budget_stops_at_the_first_overflow(spark):
     assert {r["path"]: r["used"] for r in findings.budget_prefix(df, 100).collect()} == {"a": 60, "b": 90}
 
 
+def test_budget_within_one_score(spark):
+    sizes = [(f"f{i:04d}", 0 if i < 900 else 1, i * 7 % 11) for i in range(1000)]
+    rows, total = {}, 5
+    for path, _, n in sorted(sizes, key=lambda r: (-r[1], r[0])):
+        total += n
+        if total <= 2000:
+            rows[path] = total
+    df = spark.createDataFrame(sizes, "path string, score int, tokens int").repartition(4)
+    assert {r["path"]: r["used"] for r in findings.budget_prefix(df, 2000, 5).collect()} == rows
+
+
 def test_files_and_regions(spark):
     named = regions.locate_files(spark.createDataFrame([("src/a.py",), ("x/b.py",), ("none",)], "name string"), spark.createDataFrame([("src/a.py",), ("lib/b.py",)], "path string"))
     assert {r["name"]: r["path"] for r in named.collect()} == {"src/a.py": "src/a.py", "x/b.py": "lib/b.py", "none": None}
